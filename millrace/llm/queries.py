@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, wavelet
+from . import common, fingerprint, media, packing, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.new_folder(spark, "media")
+    media.write_archives(_table(spark, sf_dir, "documents"), folder)
+    return media.describe(media.read_archives(spark, folder))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     shards = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 1, common.new_folder(spark, "tokens"))
@@ -29,6 +39,8 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_media_columns": op5_media_columns,
     "op9_token_ids": op9_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
