@@ -9,6 +9,7 @@ class or case could differ between Unicode versions go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -17,39 +18,57 @@ _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 _BYTE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 _WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
+#: Bytes of such characters in UTF-8 but for U+00A1 to U+00BF, which need the pattern.
+_QUICK = bytes([9, 10, 13, *range(32, 127), *range(128, 192), *range(195, 201)])
+
+
+def plain(text: str) -> bool:
+    """Whether a text has only tabs, line ends, printable ASCII and U+00A1 to U+024F."""
+    return not text.encode("utf-8", "surrogatepass").translate(None, _QUICK) or bool(_PLAIN.fullmatch(text))
+
+
+#: How byte-level vocabularies write bytes as characters (fixed values): printable ones as they are, the rest from 256 on.
+_AS_IS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARS = {b: b for b in _AS_IS} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_AS_IS}))}
 
 
 class _Table(dict):
-    def __init__(self, encode):
+    """Words seen of late with their ids; `old` has those of the time before."""
+
+    def __init__(self, encode, old=None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, old or {}
 
     def __missing__(self, word):
-        self[word] = ids = self.encode(word)
+        self[word] = ids = self.old.get(word) or self.encode(word)
         return ids
 
 
 class Encoder:
-    """ids(text) gives little-endian unsigned 32-bit ids. `words` bounds the table of words held."""
+    """ids(text) gives little-endian unsigned 32-bit ids. `words` bounds each of the two tables of words held."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 250_000):
         from tokenizers import Tokenizer
 
         self.path, self.words = path, words
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kind = self.tokenizer.pre_tokenizer
-        known = type(self.tokenizer.model).__name__ == "BPE" and kind is not None
-        lower = known and self.tokenizer.normalizer is not None
-        self.split, self.lower = (_WORD if lower else _BYTE) if known and self._alike(lower) else None, lower
-        self.table = _Table(self._whole)
-
-    def _alike(self, lower: bool) -> bool:
-        """Whether the pattern splits as the file does, tried on a text that has every kind of word."""
+        self.merge = self.tokenizer.model.tokenize
+        self.lower = self.tokenizer.normalizer is not None
+        self.split = None
+        if type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.pre_tokenizer is not None:
+            pattern = _WORD if self.lower else _BYTE
+            self.split = pattern if self._alike(pattern) else None
+        self.table = _Table(self._word)
+
+    def _alike(self, pattern: re.Pattern) -> bool:
+        """Whether words split and merged here give the file's ids, tried on a text that has every kind of word."""
         probe = "We've  it's\n\n\tA1b2²x é ß...\"!? İı they'd'll 12 345  état \r\n x' 'r ''' #$%%% "
-        pattern = _WORD if lower else _BYTE
-        words = pattern.findall(probe.lower() if lower else probe)
-        return b"".join(map(self._whole, words)) == self._whole(probe)
+        words = pattern.findall(probe.lower() if self.lower else probe)
+        return b"".join(map(self._word, words)) == self._whole(probe)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(_CHARS))]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,10 +76,10 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split is None or not _PLAIN.fullmatch(text):
+        if self.split is None or not plain(text):
             return self._whole(text)
         if len(self.table) > self.words:
-            self.table.clear()
+            self.table = _Table(self._word, {**self.table})
         return b"".join(map(self.table.__getitem__, self.split.findall(text.lower() if self.lower else text)))
 
 
