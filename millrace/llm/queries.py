@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, media, packing, wavelet
+from . import common, fingerprint, media, packing, secrets, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,18 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.find(docs, secrets.fit(docs))
+    counts = [secrets.count_of("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("spans", ["assign", "access", "hex"]), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_media_columns": op5_media_columns,
     "op9_token_ids": op9_token_ids,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {}
