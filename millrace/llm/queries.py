@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, media, packing, secrets, wavelet
+from . import common, fingerprint, media, packing, secrets, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.read_archives(spark, folder))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.new_folder(spark, "warc")
+    runs = warc.write(_table(spark, sf_dir, "pages"), folder)
+    records = warc.read(warc.merge(spark, runs, folder))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     shards = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 1, common.new_folder(spark, "tokens"))
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_media_columns": op5_media_columns,
+    "op8_warc": op8_warc,
     "op9_token_ids": op9_token_ids,
     "op10_secret_scans": op10_secret_scans,
 }
