@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, media, ngram_join, packing, secrets, toxicity, warc, wavelet
+from . import common, fingerprint, media, mixing, ngram_join, packing, secrets, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.read_archives(spark, folder))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.WEIGHTS, domain=F.expr(mixing.DOMAIN))
+    return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "warc")
     runs = warc.write(_table(spark, sf_dir, "pages"), folder)
@@ -68,8 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_fingerprints": op4_fingerprints,
     "op5_media_columns": op5_media_columns,
+    "op6_mixing": op6_mixing,
     "op8_warc": op8_warc,
     "op9_token_ids": op9_token_ids,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": mixing.oracle(),
+}
