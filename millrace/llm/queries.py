@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, media, mixing, ngram_join, packing, secrets, toxicity, warc, wavelet
+from . import chat, common, fingerprint, media, mixing, ngram_join, packing, secrets, toxicity, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_folder(spark, "warc")
     runs = warc.write(_table(spark, sf_dir, "pages"), folder)
@@ -74,10 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
     "op9_token_ids": op9_token_ids,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.oracle(),
+    "op7_chat_formatting": chat.ORACLE,
 }
