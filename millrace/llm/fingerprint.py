@@ -58,7 +58,7 @@ def bins(hashes: np.ndarray) -> np.ndarray | None:
 
 def fingerprint(text: str | None) -> str:
     """Base64 of the packed bins; the empty string for a text without words."""
-    low = bins(shingles.hashes(shingles.words(text or ""), WORDS))
+    low = bins(shingles.hashes(text or "", WORDS))
     return "" if low is None else base64.b64encode((low[0::2] | low[1::2] << 4).tobytes()).decode()
 
 

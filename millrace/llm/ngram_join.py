@@ -7,13 +7,14 @@ are found under each order and the filters are intersected before verification.
 Every order puts tokens that many documents have last and sorts the rest by a
 hash of its own.
 
-No pair is ever made of a token's documents. Under each order, the documents of a
-prefix token become a star around the smallest id, and stars become components;
-documents that are together under all orders form a group, in which their sets
-are verified exactly, with the orders' prefixes again as a filter on pairs. Large
-groups are cut into blocks, and each pair of blocks is a task. A task returns the
-number of links of each document and a spanning forest of links, so its output
-grows with its documents. Exact copies of a set are one node throughout.
+A prefix token of few documents gives pairs of them, of sizes that allow a link. A
+token of many never does: its documents become a star around the smallest id, and
+stars become families. A pair stays if each order has it as a pair or in a family.
+Sets of connected candidates are then verified exactly, in groups of bounded size:
+small components whole, families by pairs of blocks, the other pairs of large
+components around one of their documents. Tasks return each document's number of
+links and a spanning forest of links, so results grow with documents. Exact copies
+of a set are one node throughout.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from . import common, shingles
 from .components import components
 
 ORDERS, BLOCK, SALTS, COMMON, BITS = 2, 128, 64, 1 << 18, 1 << 25
+#: A token of more documents than FEW gives no pairs; one counted more than MANY times has its documents dealt to SALTS tasks.
+FEW, MANY = 32, 1024
 
 
-def shingle_set(text: str, size: int) -> np.ndarray:
+def shingle_set(text: bytes | str, size: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingles.hashes(shingles.words(text), size))
+    return np.unique(shingles.hashes(text, size))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -42,7 +45,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefix(tokens: np.ndarray, order: int, percent: int, common_tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix of a set under an order, and how many of its last tokens are common ones."""
+    """The prefix of a set under an order, and how many of its last tokens have been counted more than MANY times."""
     n = prefix_length(len(tokens), percent)
     rank = shingles.mix(tokens ^ np.uint64(order)) if order else tokens
     if not len(common_tokens):
@@ -53,7 +56,7 @@ def prefix(tokens: np.ndarray, order: int, percent: int, common_tokens: np.ndarr
     if n <= len(rare):
         return rare[np.argpartition(rank_rare, n - 1)[:n]] if n < len(rare) else rare, 0
     last = np.lexsort((rank[often], counts[at[often]]))[: n - len(rare)]
-    return np.concatenate([rare, tokens[often][last]]), n - len(rare)
+    return np.concatenate([rare, tokens[often][last]]), int(np.count_nonzero(counts[at[often]][last] > MANY))
 
 
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,7 @@ def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.
 
     def run(it):
         for b in it:
-            sets = [shingle_set(t.as_py(), size) for t in b.column(0)]
+            sets = [shingle_set(t.as_buffer(), size) for t in b.column(0)]
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
             many = counts >= max(4, len(sets) // 1000)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["token", "n"])
@@ -88,7 +91,7 @@ def prefixed(docs: DataFrame, size: int, percent: int, orders: int, often) -> Da
             parts: list[list] = [[] for _ in range(orders)]
             ends: list[list] = [[] for _ in range(orders)]
             for t in b.column(1):
-                tokens = shingle_set(t.as_py(), size)
+                tokens = shingle_set(t.as_buffer(), size)
                 n.append(len(tokens))
                 both = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist() if len(tokens) else (None, None)
                 hi.append(both[0])
@@ -106,42 +109,129 @@ def prefixed(docs: DataFrame, size: int, percent: int, orders: int, often) -> Da
     return docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(run, schema)
 
 
+CANDIDATES = "kind int, o int, a long, b long"
+PAIR, STAR, TOP = 0, 1, 2
+
+
 def postings(nodes: DataFrame, orders: int) -> DataFrame:
-    """o (order), token, salt, node: a row per prefix token. Common tokens are salted by node, others have salt 0."""
+    """token, o (order), salt, node, n: a row per prefix token, dealt and sorted by token. Very common tokens are salted by node, others have salt 0."""
 
     def run(it):
         for b in it:
-            node = b.column(0).to_numpy()
+            node, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             for k in range(orders):
-                held, often = b.column(1 + 2 * k), b.column(2 + 2 * k).to_numpy()
+                held, often = b.column(2 + 2 * k), b.column(3 + 2 * k).to_numpy()
                 sizes = np.diff(held.offsets.to_numpy())
                 tokens = held.flatten().to_numpy()
                 owner = np.repeat(node, sizes)
                 place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 hot = place >= np.repeat(sizes - often, sizes)
                 salt = np.where(hot, 1 + (shingles.mix(owner.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), k, np.int32)), pa.array(tokens), pa.array(salt.astype(np.int32)), pa.array(owner)], names=["o", "token", "salt", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array((k * (SALTS + 1) + salt).astype(np.int32)), pa.array(owner), pa.array(np.repeat(n, sizes).astype(np.int32))], names=["token", "os", "node", "n"])
 
     columns = [x for k in range(orders) for x in (f"p{k}", f"c{k}")]
-    return nodes.select("node", *columns).mapInArrow(run, "o int, token long, salt int, node long")
-
-
-def stars(posts: DataFrame) -> DataFrame:
-    """Links o, u, v from every node of a token to its smallest node, for a common token by way of the smallest of each salt."""
-    first = F.min("node").over(Window.partitionBy("o", "token", "salt").orderBy("node"))
-    met = common.staged(posts.withColumn("hub", first).filter("node > hub or salt > 0"), "postings")
-    over = F.min("hub").over(Window.partitionBy("o", "token").orderBy("hub"))
-    tops = met.filter("salt > 0 and node = hub").select("o", "token", "hub").withColumn("top", over).filter("hub > top")
-    return met.filter("node > hub").select("o", F.col("node").alias("u"), F.col("hub").alias("v")).distinct().unionByName(tops.select("o", F.col("hub").alias("u"), F.col("top").alias("v")))
-
-
-def groups(links: DataFrame, orders: int) -> DataFrame:
-    """node, g0.. (its component under each order), size, of the groups of two nodes or more that are together under all orders."""
-    parts = components(links, ["o"])
-    each = parts.groupBy("id").agg(*(F.max(F.when(F.col("o") == k, F.col("component"))).alias(f"g{k}") for k in range(orders))).withColumnRenamed("id", "node").dropna()
-    keys = [f"g{k}" for k in range(orders)]
-    sizes = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return common.staged(each.join(sizes, keys), "groups")
+    rows = nodes.select("node", "n", *columns).mapInArrow(run, "token long, os int, node long, n int")
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(spread, "token", "os").sortWithinPartitions("token", "os", "node")
+
+
+def _candidates(it, percent: int):
+    """Rows (PAIR, o, a, b), (STAR, o, node, smallest node) and, of salted tokens, (TOP, o, token, smallest node of the salt)."""
+    kinds = pa.schema([("kind", pa.int32()), ("o", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def out(kind, o, a, b):
+        rows = np.unique(np.stack([np.broadcast_to(o, a.shape).astype(np.int64), a, b]), axis=1) if len(a) else np.empty((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], kind, np.int32)), pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], schema=kinds)
+
+    held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)]
+    hub = None  # (token, os, smallest node) of a run that has been flushed in part
+    for batch in _with_end(it):
+        if batch is not None:
+            held = [np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns, strict=True)]
+        token, os, node, n = held
+        if not len(token):
+            continue
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (os[1:] != os[:-1])])
+        sizes = np.diff(np.r_[first, len(token)])
+        if batch is not None and sizes[-1] <= 1 << 16:  # the last run may go on
+            first, sizes, keep = first[:-1], sizes[:-1], int(first[-1])
+        else:
+            keep = len(token)
+        held = [x[keep:] for x in held]
+        if not len(first):
+            continue
+        order, salted = os // (SALTS + 1), os % (SALTS + 1) > 0
+        low = node[first].copy()
+        told = False
+        if hub is not None:
+            if (token[first[0]], os[first[0]]) == hub[:2]:
+                low[0], told = hub[2], True
+        hub = (token[first[-1]], os[first[-1]], low[-1]) if keep == len(token) and batch is not None else None
+        many = (sizes > FEW) | salted[first]
+        many[0] |= told
+        if hub is not None:
+            many[-1] = True
+        # Runs of many nodes are stars around their smallest.
+        inside = np.repeat(many, sizes)
+        a, b, o = node[:keep][inside], np.repeat(low, sizes)[inside], order[:keep][inside]
+        yield out(STAR, o[a != b], a[a != b], b[a != b])
+        top = salted[first]
+        yield out(TOP, order[first[top]], token[first[top]], low[top])
+        # Runs of few nodes are pairs, all runs of one size at a time.
+        for m in np.unique(sizes[~many]):
+            if m > 1:
+                at = first[~many & (sizes == m)]
+                i, j = np.triu_indices(int(m), 1)
+                step = max(1, 2_000_000 // len(i))
+                for k in range(0, len(at), step):
+                    x, y = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                    small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
+                    fits = (node[x] != node[y]) & (100 * small >= percent * large)
+                    x, y = x[fits], y[fits]
+                    yield out(PAIR, order[x], node[x], node[y])
+
+
+def _with_end(it):
+    yield from it
+    yield None
+
+
+def groups(met: DataFrame, orders: int) -> DataFrame:
+    """Groups to verify: kind, g, i, j (the group), own (a side; pairs of one side are left out where there are two), node."""
+    stars = met.filter(F.col("kind") == STAR).select("o", F.col("a").alias("u"), F.col("b").alias("v"))
+    tops = met.filter(F.col("kind") == TOP).select("o", F.col("a").alias("token"), F.col("b").alias("v")).distinct()
+    least = tops.groupBy("o", "token").agg(F.min("v").alias("u"))
+    families = components(stars.unionByName(tops.join(least, ["o", "token"]).select("o", "u", "v")), ["o"])
+    every = [f"f{k}" for k in range(orders)]
+    family = common.staged(families.groupBy("id").agg(*(F.max(F.when(F.col("o") == k, F.col("component"))).alias(f"f{k}") for k in range(orders))), "families")
+    pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, o))").alias("mask"))
+    left = family.select(F.col("id").alias("a"), *(F.col(f).alias(f"a{f}") for f in every))
+    right = family.select(F.col("id").alias("b"), *(F.col(f).alias(f"b{f}") for f in every))
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    same = [F.coalesce(F.col(f"a{f}") == F.col(f"b{f}"), F.lit(False)) for f in every]
+    stays, together = F.lit(True), F.lit(True)
+    for k in range(orders):
+        stays &= (F.col("mask").bitwiseAND(F.lit(1 << k)) != 0) | same[k]
+        together &= same[k]
+    kept = common.staged(both.filter(stays).select("a", "b", together.alias("together")), "pairs")
+    hot = family.dropna().groupBy(*every).agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = common.staged(family.dropna().join(hot, every).select(F.col("id").alias("node"), "g", "size"), "members")
+    links = kept.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(members.select(F.col("g").alias("u"), F.col("node").alias("v")))
+    joined = components(links)
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("all"))
+    placed = common.staged(joined.join(sizes, "component").select(F.col("id").alias("node"), "component", "all"), "components")
+    zero = F.lit(0)
+    small = placed.filter(F.col("all") <= BLOCK).select(zero.alias("kind"), F.col("component").alias("g"), zero.alias("i"), zero.alias("j"), zero.alias("own"), "node")
+    large = placed.filter(F.col("all") > BLOCK).select("node")
+    blocks = members.join(large, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select(F.lit(1).alias("kind"), "g", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node")
+    apart = kept.filter("not together").join(large.withColumnRenamed("node", "a"), "a")
+    parts = apart.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    around = apart.join(parts, "a").withColumn("i", F.pmod(F.xxhash64(F.lit(6), "b"), F.col("parts")).cast("int"))
+    around = around.select(F.lit(2).alias("kind"), F.col("a").alias("g"), "i", F.lit(-1).alias("j"), F.explode(F.array(F.struct(zero.alias("own"), F.col("a").alias("node")), F.struct(F.lit(1).alias("own"), F.col("b").alias("node")))).alias("x"))
+    around = around.select("kind", "g", "i", "j", "x.own", "x.node").distinct()
+    return common.staged(small.unionByName(blocks).unionByName(around), "groups")
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -207,7 +297,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def verified(docs: DataFrame, members: DataFrame, size: int, percent: int, orders: int, often) -> DataFrame:
+def verified(docs: DataFrame, members: DataFrame, copies: DataFrame, size: int, percent: int, orders: int, often) -> DataFrame:
     """node, other, n: a row per node and task with its number of links (weighted by copies), and a row per link of the forests (n 0)."""
     spark = docs.sparkSession
     # Texts of documents in no group stay where they are: a bit map of at most BITS bits over hashed ids tells most of them.
@@ -225,23 +315,23 @@ def verified(docs: DataFrame, members: DataFrame, size: int, percent: int, order
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).filter("doc_id is not null")
     texts = rows.withColumn("at", place).mapInArrow(hit, "doc_id long, text string").withColumnRenamed("doc_id", "node")
-    keys = [f"g{k}" for k in range(orders)]
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.withColumn("blocks", blocks).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))).otherwise(0).cast("int"))
-    full = texts.join(cut, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = full.select(*keys, F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "copies", "text")
-    dealt = dealt.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "node")
-    width = orders + 2
+    keys = ["kind", "g", "i", "j"]
+    dealt = texts.join(members.join(copies, "node"), "node").select(*keys, "own", "node", "copies", "text")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(spread, *keys).sortWithinPartitions(*keys, "own", "node")
+    width = len(keys)
     kinds = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
+    empty = np.empty(0, np.uint64)
 
-    def test(group: list[tuple]) -> Iterator[tuple]:
-        own, nodes, copies = (list(c) for c in zip(*(r[:3] for r in group), strict=True))
+    def test(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        own, nodes, weights = (list(c) for c in zip(*(r[:3] for r in group), strict=True))
+        crossed = key[0] == 2 or key[2] != key[3]
+        if len(group) < 2 or crossed and len(set(own)) < 2:
+            return
         sets = [shingle_set(r[3], size) for r in group]
-        empty = np.empty(0, np.uint64)
         prefixes = [[prefix(s, k, percent, *often.value)[0] if len(s) else empty for s in sets] for k in range(orders)]
-        sides = np.array(own)
-        links = linked(sets, prefixes, percent, sides if len(set(own)) > 1 else None)
-        counts = links @ np.array(copies)
+        links = linked(sets, prefixes, percent, np.array(own) if crossed else None)
+        counts = links @ np.array(weights)
         yield from ((n, None, int(c)) for n, c in zip(nodes, counts, strict=True) if c)
         yield from ((nodes[a], nodes[b], 0) for a, b in forest(links) if nodes[a] != nodes[b])
 
@@ -252,12 +342,12 @@ def verified(docs: DataFrame, members: DataFrame, size: int, percent: int, order
                 columns = [c.to_pylist() for c in b.columns]
                 for now, row in zip(zip(*columns[:width], strict=True), zip(*columns[width:], strict=True), strict=True):
                     if now != key:
-                        if len(group) > 1 and (key[-1] == key[-2] or len({r[0] for r in group}) > 1):
-                            yield from test(group)
+                        if group:
+                            yield from test(key, group)
                         key, group = now, []
                     group.append(row)
-            if len(group) > 1 and (key[-1] == key[-2] or len({r[0] for r in group}) > 1):
-                yield from test(group)
+            if group:
+                yield from test(key, group)
 
         yield from common.batches(rows(), kinds)
 
@@ -281,11 +371,11 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS
     table = common.staged(prefixed(docs, size, percent, orders, often), "prefixes")
     held = [x for k in range(orders) for x in (f"p{k}", f"c{k}")]
     whole = table.filter("n > 0 and doc_id is not null")
-    nodes = whole.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", *held)).alias("x"), F.count(F.lit(1)).alias("copies"))
-    links = stars(postings(nodes.select(F.col("x.doc_id").alias("node"), *(F.col(f"x.{c}") for c in held)), orders))
+    nodes = whole.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", *held)).alias("x"), F.min("n").alias("n"))
+    met = common.staged(postings(nodes.select(F.col("x.doc_id").alias("node"), "n", *(F.col(f"x.{c}") for c in held)), orders).mapInArrow(lambda it: _candidates(it, percent), CANDIDATES), "candidates")
     ids = common.staged(whole.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
     sized = ids.groupBy("node").agg(F.sum("copies").alias("copies"))
-    found = verified(docs, groups(links, orders).join(sized, "node"), size, percent, orders, often)
+    found = verified(docs, groups(met, orders), sized, size, percent, orders, often)
     joined = components(found.filter("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     degree = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("links"))
     named = ids.join(joined.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left")
