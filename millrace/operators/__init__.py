@@ -1,0 +1,6 @@
+"""Operators by node type."""
+
+from . import columns, combine, rows
+from .base import OPERATORS
+
+__all__ = ["OPERATORS", "columns", "combine", "rows"]
