@@ -32,7 +32,7 @@ from .components import components
 
 ORDERS, BLOCK, SALTS, COMMON, BITS = 2, 128, 64, 1 << 18, 1 << 25
 #: A token of more documents than FEW gives no pairs; one counted more than MANY times has its documents dealt to SALTS tasks.
-FEW, MANY = 32, 1024
+FEW, MANY = 256, 1024
 
 
 def shingle_set(text: bytes | str, size: int) -> np.ndarray:
@@ -62,8 +62,8 @@ def prefix(tokens: np.ndarray, order: int, percent: int, common_tokens: np.ndarr
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents have, with counts over all documents, for the orders to put last.
 
-    Each batch of documents counts its own and passes on those of a thousandth of
-    them; sums decide. At most `most` come to the driver: which these are affects
+    Each batch of documents counts its own and passes on those of three documents
+    or more; sums decide. At most `most` come to the driver: which these are affects
     the work only, as any order finds the same links.
     """
 
@@ -71,7 +71,7 @@ def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.
         for b in it:
             sets = [shingle_set(t.as_buffer(), size) for t in b.column(0)]
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            many = counts >= max(4, len(sets) // 1000)
+            many = counts >= 3
             yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["token", "n"])
 
     found = docs.select(common.text_column(docs).alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
