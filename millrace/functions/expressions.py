@@ -31,16 +31,18 @@ def literal(value: Any) -> Column:
     raise ValueError(f"unsupported value type {type(value).__name__}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _number_text(numbers: pd.Series) -> pd.Series:
-    return numbers.map(lambda x: None if x is None or pd.isna(x) else str(x.item() if hasattr(x, "item") and x.dtype.itemsize == 8 else x), na_action="ignore")
+    return pd.Series([None if x != x else str(x) for x in numbers.to_numpy()], dtype=object)
 
 
 def to_text(col: Column, kind: T.DataType) -> Column:
     """Text as SQL casts give it. Doubles and floats are written with the fewest digits that give them back."""
     if isinstance(kind, T.StringType):
         return col
-    return _number_text(col) if isinstance(kind, (T.DoubleType, T.FloatType)) else col.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(col), F.lit("nan")).otherwise(_number_text(col))
+    return col.cast("string")
 
 
 def assign_cast(col: Column, kind: T.DataType, to: T.DataType) -> Column:

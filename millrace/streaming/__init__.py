@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.operators import OPERATORS
@@ -26,6 +27,8 @@ def through(stream: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
 def windowed(stream: DataFrame, time: str, size: str, keys: list[str], metrics: dict[str, str], late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Metrics (alias: SQL aggregate) for each window and keys; rows later than the watermark are dropped."""
     window = F.window(time, size, slide) if slide else F.window(time, size)
+    if isinstance(stream.schema[time].dataType, T.TimestampNTZType):  # watermarks need a time zone: the session's
+        stream = stream.withColumn(time, F.col(time).cast(T.TimestampType()))
     out = stream.withWatermark(time, late).groupBy(window, *keys).agg(*(F.expr(e).alias(a) for a, e in metrics.items()))
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *metrics)
 
