@@ -94,9 +94,10 @@ def mix(docs: DataFrame, weights: dict[tuple[str, ...], int], total: int | None
     default its words). Null names count as the empty name, null texts as 0 tokens.
     Of equal doc_ids the order is that of their texts. A document is selected once
     for every epoch that reaches it: wholly, or in the prefix of documents whose
-    tokens add up to at most what is left. No documents give no rows.
+    tokens add up to at most what is left. Columns of docs whose names start with
+    mix_ are left out. No documents give no rows.
     """
-    columns = docs.columns
+    columns = [c for c in docs.columns if not c.startswith("mix_")]
     named = docs.select(
         *(F.col(f"`{c}`") for c in columns),
         F.coalesce((F.col("domain") if domain is None else domain).cast("string"), F.lit("")).alias("mix_domain"),
@@ -107,22 +108,22 @@ def mix(docs: DataFrame, weights: dict[tuple[str, ...], int], total: int | None
     levels = ("mix_domain", "mix_lang", "mix_source")
     leaves = common.staged(named.groupBy(*levels).agg(F.sum("mix_tokens").alias("tokens")).withColumn("room", F.col("tokens") * epochs), "leaves")
     plan = leaves.join(budgets(leaves, weights, total, levels), list(levels)).filter("tokens > 0")
-    plan = common.staged(plan.selectExpr(*levels, "CAST(budget DIV tokens AS INT) AS whole", "budget % tokens AS part"), "budgets")
-    bucket = F.substring("mix_order", 1, DIGITS)
+    plan = common.staged(plan.selectExpr(*levels, "CAST(budget DIV tokens AS INT) AS mix_whole", "budget % tokens AS mix_part"), "budgets")
 
     def met(table: DataFrame) -> DataFrame:
-        return named.join(table, list(levels)).withColumn("mix_order", seeded(seed, F.col("whole"), F.col("doc_id"))).withColumn("mix_bucket", bucket)
+        order = seeded(seed, F.col("mix_whole"), F.col("doc_id"))
+        return named.join(table, list(levels)).withColumn("mix_order", order).withColumn("mix_bucket", F.substring("mix_order", 1, DIGITS))
 
-    sums = met(plan).filter("part > 0").groupBy(*levels, "mix_bucket").agg(F.sum("mix_tokens").alias("n"), F.max("part").alias("part"))
+    sums = met(plan).filter("mix_part > 0").groupBy(*levels, "mix_bucket").agg(F.sum("mix_tokens").alias("n"), F.max("mix_part").alias("part"))
     before = Window.partitionBy(*levels).orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before <= part and before + n > part")
     ends = ends.groupBy(*levels).agg(F.min(F.struct("mix_bucket", "before")).alias("end"))
-    full = common.staged(plan.join(ends, list(levels), "left").selectExpr(*levels, "whole", "part", "end.mix_bucket AS last", "end.before AS before"), "ends")
-    rows = met(full)
-    sure = rows.withColumn("mix_epochs", F.expr("whole + CASE WHEN part > 0 AND (last IS NULL OR mix_bucket < last) THEN 1 ELSE 0 END"))
-    apart = F.expr("part > 0 AND last IS NOT NULL AND mix_bucket = last")
+    full = common.staged(plan.join(ends, list(levels), "left").selectExpr(*levels, "mix_whole", "mix_part", "end.mix_bucket AS mix_last", "end.before AS mix_before"), "ends")
+    # Buckets before the last are in, those after it out; in a leaf without a last bucket the next epoch's prefix is all of it or nothing.
+    sure = met(full).withColumn("mix_epochs", F.expr("mix_whole + CASE WHEN mix_part > 0 AND (mix_last IS NULL OR mix_bucket < mix_last) THEN 1 ELSE 0 END"))
+    apart = F.expr("mix_part > 0 AND mix_last IS NOT NULL AND mix_bucket = mix_last")
     running = F.sum("mix_tokens").over(Window.partitionBy(*levels, "mix_bucket").orderBy("mix_order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    edge = sure.filter(apart).withColumn("mix_sum", running).withColumn("mix_epochs", F.expr("whole + CASE WHEN before + mix_sum <= part THEN 1 ELSE 0 END")).drop("mix_sum")
+    edge = sure.filter(apart).withColumn("mix_sum", running).withColumn("mix_epochs", F.expr("mix_whole + CASE WHEN mix_before + mix_sum <= mix_part THEN 1 ELSE 0 END")).drop("mix_sum")
     taken = sure.filter(~apart).unionByName(edge).filter("mix_epochs > 0")
     return taken.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_epochs") - 1))).select(*(F.col(f"`{c}`") for c in columns), "mix_domain", "mix_epoch", "mix_tokens")
 

@@ -389,5 +389,5 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents (any columns) without near copies: of each component the row of the smallest doc_id stays, of equal ids the first text."""
     found = join(docs, size, percent).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     same = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    known = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("same_", same).filter("same_ = 1").drop("same_")
+    known = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("__same", same).filter("__same = 1").drop("__same")
     return known.unionByName(docs.filter("doc_id is null"))

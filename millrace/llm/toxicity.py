@@ -71,20 +71,36 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares:
     vectors, soft = r.normal(0, 0.01, (BUCKETS, WIDTH)), np.zeros((2, WIDTH))
     soft[1] = r.normal(0, 1, WIDTH)
     soft[1] /= np.linalg.norm(soft[1])
-    rows = np.repeat(np.arange(len(bags), dtype=np.int32), [len(a) for a, _ in bags])
+    sizes = np.array([len(a) for a, _ in bags])
     at = np.concatenate([a for a, _ in bags])
     part = np.concatenate([w for _, w in bags])
+    del bags
+    ends = np.cumsum(sizes)
+    # Rows are taken some at a time, so that only these two arrays have the length of all bags.
+    pieces = [(k, min(k + 128, len(sizes))) for k in range(0, len(sizes), 128)]
+    spans = [slice(int(ends[a] - sizes[a]), int(ends[b - 1])) for a, b in pieces]
     share = shares / shares.sum()
     prior = float((share * labels).sum())
     bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    step = rate / (np.bincount(at, part * share[rows], BUCKETS) + rare)
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        """For each bucket the sum over rows of the row's value times the bucket's part."""
+        total = np.zeros(BUCKETS)
+        for (a, b), s in zip(pieces, spans, strict=True):
+            total += np.bincount(at[s], part[s] * np.repeat(values[a:b], sizes[a:b]), BUCKETS)
+        return total
+
+    step = rate / (summed(share) + rare)
     moving, turning = np.zeros(BUCKETS), np.zeros(WIDTH)
+    logits = np.empty(len(sizes))
     for _ in range(steps):
         difference = soft[1] - soft[0]
-        weights = vectors @ difference
-        logits = np.bincount(rows, part * weights[at], len(bags)) + bias
+        weights = (vectors @ difference).astype(np.float32)
+        for (a, b), s in zip(pieces, spans, strict=True):
+            logits[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), part[s] * weights[at[s]], b - a)
+        logits += bias
         error = (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - labels) * share
-        pull = np.bincount(at, part * error[rows], BUCKETS)
+        pull = summed(error)
         moving = 0.9 * moving + step * pull
         turning = 0.9 * turning + vectors.T @ pull
         vectors *= 1 - decay
@@ -100,7 +116,7 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 2500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500) -> Model:
     """The model of documents (doc_id, text) and labels (doc_id, toxic 0 or 1), from at most `toxic` and `clean` labelled rows.
 
     The rows are chosen by a hash of doc_id among those that aren't held out; only
@@ -135,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 2500
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(totals[1] / totals[0])))
     bags = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(p.as_py(), np.float32)) for a, p in zip(found.column("at"), found.column("part"), strict=True)]
     each = {k: totals[k] / max(1, int((labelled == k).sum())) for k in totals}
+    del found
     return train(bags, labelled.astype(np.float64), np.array([each[k] for k in labelled.tolist()]))
 
 
@@ -165,7 +182,8 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs (any columns, among them text) with a column score_ of 0 to 1. Null texts count as empty."""
+    """The rows of docs (any columns, among them text) with a column score_ of 0 to 1, in place of one of that name. Null texts count as empty."""
+    docs = docs.drop("score_")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
