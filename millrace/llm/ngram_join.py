@@ -391,3 +391,14 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     same = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     known = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("__same", same).filter("__same = 1").drop("__same")
     return known.unionByName(docs.filter("doc_id is null"))
+
+
+#: join(documents, 4, 85) in DuckDB's SQL, by all pairs that share a shingle.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON r.c = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE d = doc_id) AS component_id, (SELECT count(*) FROM l WHERE a = doc_id) AS n_links FROM documents LEFT JOIN n USING (doc_id)"""

@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_mixing": mixing.oracle(),
     "op7_chat_formatting": chat.ORACLE,
+    "op8_warc": warc.ORACLE,
 }

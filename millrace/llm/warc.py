@@ -285,3 +285,10 @@ def read(captures: DataFrame) -> DataFrame:
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = captures.select("archive", "offset", "length").repartition(n, "archive", F.floor(F.col("offset") / (8 << 20)))
     return spread.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+
+
+#: What op8 returns, in DuckDB's SQL: the SHA-1 in base 32, eight digits for every five bytes.
+ORACLE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::INTEGER, 1)), '') AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
