@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 12 << 20
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -60,6 +61,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded by BATCH bytes, so that long texts don't add up in a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI, for reading and writing bytes in tasks."""
     from pyarrow import fs

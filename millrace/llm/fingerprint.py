@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", common.text_column(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return common.lean(docs).select("doc_id", common.text_column(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def neighbours(docs: DataFrame, visit, schema: str, parts: int | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def neighbours(docs: DataFrame, visit, schema: str, parts: int | None = None) ->
     function factory: visit() returns a function from those three to a row.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
+    rows = common.lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 50 * parts)).first()[0]
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 

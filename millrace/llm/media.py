@@ -108,7 +108,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20)
         if archive is not None:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text"))
+    rows = common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text"))
     rows.mapInArrow(run, FILES).write.parquet(f"{folder}/{LISTED}")
     return docs.sparkSession.read.schema(FILES).parquet(f"{folder}/{LISTED}")
 

@@ -62,17 +62,26 @@ def prefix(tokens: np.ndarray, order: int, percent: int, common_tokens: np.ndarr
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents have, with counts over all documents, for the orders to put last.
 
-    Each batch of documents counts its own and passes on those of three documents
-    or more; sums decide. At most `most` come to the driver: which these are affects
+    Documents with some four million shingles at a time are counted together, and
+    what three of them have is passed on; sums decide. At most `most` come to the driver: which these are affects
     the work only, as any order finds the same links.
     """
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+        many = counts >= 3
+        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["token", "n"])
+
     def run(it):
+        sets, held = [], 0
         for b in it:
-            sets = [shingle_set(t.as_buffer(), size) for t in b.column(0)]
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            many = counts >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["token", "n"])
+            for t in b.column(0):
+                sets.append(shingle_set(t.as_buffer(), size))
+                held += len(sets[-1])
+                if held >= 4_000_000:
+                    yield counted(sets)
+                    sets, held = [], 0
+        yield counted(sets)
 
     found = docs.select(common.text_column(docs).alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "token").limit(most).toArrow()
@@ -366,7 +375,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS
     and no part in links. No documents give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = common.lean(docs).select("doc_id", "text")
     often = spark.sparkContext.broadcast(common_shingles(docs, size))
     table = common.staged(prefixed(docs, size, percent, orders, often), "prefixes")
     held = [x for k in range(orders) for x in (f"p{k}", f"c{k}")]

@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("local", pa.int64())]
         yield from common.batches(rows(), pa.schema(kinds), size=lambda r: len(r[4]))
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(run, PIECES)
+    return common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(run, PIECES)
 
 
 class Gaps:

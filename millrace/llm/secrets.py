@@ -129,7 +129,7 @@ def sample(docs: DataFrame, documents: int = 8192, most: int = 3000) -> tuple[li
         yield from common.batches(rows(), kinds, limit=1000)
 
     order = F.xxhash64(F.lit(10), F.col("doc_id").cast("string"))
-    picked = docs.filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)).select(common.text_column(docs).alias("text"))
+    picked = common.lean(docs).filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)).select(common.text_column(docs).alias("text"))
     found = picked.mapInArrow(run, "hit boolean, file string, keys array<string>, tags array<int>")
     ranked = found.withColumn("order", F.xxhash64("keys", "tags"))
     top = ranked.filter("hit").orderBy("order").limit(most).unionByName(ranked.filter("not hit").orderBy("order").limit(most)).toArrow().to_pylist()
@@ -290,7 +290,7 @@ def find(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null and empty texts have none. One row per input row, whatever its doc_id.
     """
-    return docs.select(F.col("doc_id"), common.text_column(docs).alias("text")).mapInArrow(_scanner(docs, model, False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return common.lean(docs).select(F.col("doc_id"), common.text_column(docs).alias("text")).mapInArrow(_scanner(docs, model, False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
 def _scanner(docs: DataFrame, model: Model | None, clean: bool):
@@ -328,7 +328,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "<secret>
 def redact(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents (any columns) with the secrets in their texts replaced; null texts become empty."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in rest), common.text_column(docs).alias("text"))
+    rows = common.lean(docs).select(*(F.col(f"`{c}`") for c in rest), common.text_column(docs).alias("text"))
     return rows.mapInArrow(_scanner(docs, model, True), rows.schema).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

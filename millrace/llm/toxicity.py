@@ -58,7 +58,7 @@ class Model(NamedTuple):
     bias: float
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, steps: int = 150, rate: float = 3.0, rare: float = 2e-6, decay: float = 1e-3, seed: int = 1) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, steps: int = 150, rate: float = 8.0, rare: float = 2e-6, decay: float = 1e-3, seed: int = 1) -> Model:
     """Gradient descent with momentum on vectors, softmax and bias together.
 
     shares: how many labelled rows each row stands for. A bucket's step is divided
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500
     order = F.xxhash64(F.lit(3), "doc_id")
     chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(toxic).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(clean))
     # At most `toxic` + `clean` rows of two numbers are broadcast.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = common.lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def run(it):
         seen: dict[str, np.ndarray] = {}
@@ -183,7 +183,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs (any columns, among them text) with a column score_ of 0 to 1, in place of one of that name. Null texts count as empty."""
-    docs = docs.drop("score_")
+    docs = common.lean(docs).drop("score_")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

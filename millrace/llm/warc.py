@@ -95,7 +95,7 @@ def originals(pages: DataFrame, least: int = 0) -> DataFrame:
     htmls are empty, and null page_ids come last. Rows that share a page_id and a
     payload with the original are all responses.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), common.text_column(pages, "html").alias("html"))
+    rows = common.lean(pages).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), common.text_column(pages, "html").alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     first = rows.filter(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return rows.join(first, "sha1", "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first", "sha1")

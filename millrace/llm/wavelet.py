@@ -186,7 +186,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
         if ids:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text"))
+    rows = common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text"))
     return common.staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS), "shards")
 
 
