@@ -37,13 +37,17 @@ class WaveletMatrix:
         now = values.astype(np.uint16 if width <= 16 else np.uint32)
         planes = []
         for shift in range(width - 1, -1, -1):
-            ones = (now >> shift & 1).astype(bool)
+            ones = (now & now.dtype.type(1 << shift)) != 0
             packed = np.packbits(ones, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             sums = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
             ranks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)])
-            now = np.concatenate([now[~ones], now[ones]])
-            planes.append((packed, ranks, n - int(ranks[-1])))
+            zeros = n - int(ranks[-1])
+            split = np.empty_like(now)
+            np.compress(~ones, now, out=split[:zeros])
+            np.compress(ones, now, out=split[zeros:])
+            now = split
+            planes.append((packed, ranks, zeros))
         return cls(n, planes)
 
     def _bit(self, plane, i: int) -> int:
@@ -103,14 +107,16 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values, from the last plane up."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for depth, (packed, _, zeros) in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
+            ones = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+            now[zeros:] |= kind(1 << depth)
             up = np.empty_like(now)
-            up[~ones] = now[:zeros]
-            up[ones] = now[zeros:] | np.uint32(1 << depth)
+            np.place(up, ~ones, now[:zeros])
+            np.place(up, ones, now[zeros:])
             now = up
-        return now
+        return now.astype(np.uint32)
 
 
 def to_bytes(docs: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
