@@ -9,7 +9,8 @@ hash of its own.
 
 A prefix token of few documents gives pairs of them, of sizes that allow a link. A
 token of many never does: its documents become a star around the smallest id, and
-stars become families. A pair stays if each order has it as a pair or in a family.
+stars become families. A pair stays if under each order it is in a family or shares
+as many prefix tokens as a link between sets of its sizes needs at least.
 Sets of connected candidates are then verified exactly, in groups of bounded size:
 small components whole, families by pairs of blocks, the other pairs of large
 components around one of their documents. Tasks return each document's number of
@@ -44,6 +45,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens the prefixes of sets of a and b tokens share at least if the sets link, under any order.
+
+    Of the set whose prefix ends first, shared tokens outside it are at most the rest of that set; the others are in both prefixes.
+    """
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    both = -(-percent * (a + b) // (100 + percent))
+    rest = np.maximum(-(-percent * a // 100), -(-percent * b // 100)) - 1
+    return np.maximum(1, both - rest)
+
+
 def prefix(tokens: np.ndarray, order: int, percent: int, common_tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The prefix of a set under an order, and how many of its last tokens have been counted more than MANY times."""
     n = prefix_length(len(tokens), percent)
@@ -118,7 +130,7 @@ def prefixed(docs: DataFrame, size: int, percent: int, orders: int, often) -> Da
     return docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(run, schema)
 
 
-CANDIDATES = "kind int, o int, a long, b long"
+CANDIDATES = "kind int, o int, a long, b long, n int, need int"
 PAIR, STAR, TOP = 0, 1, 2
 
 
@@ -145,12 +157,13 @@ def postings(nodes: DataFrame, orders: int) -> DataFrame:
 
 
 def _candidates(it, percent: int):
-    """Rows (PAIR, o, a, b), (STAR, o, node, smallest node) and, of salted tokens, (TOP, o, token, smallest node of the salt)."""
-    kinds = pa.schema([("kind", pa.int32()), ("o", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    """Rows (PAIR, o, a, b, n tokens shared, need), (STAR, o, node, smallest node) and, of salted tokens, (TOP, o, token, smallest node of the salt)."""
+    kinds = pa.schema([("kind", pa.int32()), ("o", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32())])
 
-    def out(kind, o, a, b):
-        rows = np.unique(np.stack([np.broadcast_to(o, a.shape).astype(np.int64), a, b]), axis=1) if len(a) else np.empty((3, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], kind, np.int32)), pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], schema=kinds)
+    def out(kind, o, a, b, need=0):
+        shape = a.shape
+        rows, counts = np.unique(np.stack([np.broadcast_to(o, shape).astype(np.int64), a, b, np.broadcast_to(need, shape).astype(np.int64)]), axis=1, return_counts=True) if len(a) else (np.empty((4, 0), np.int64), np.empty(0))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.shape[1], kind, np.int32)), pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2]), pa.array(counts.astype(np.int32)), pa.array(rows[3].astype(np.int32))], schema=kinds)
 
     held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32)]
     hub = None  # (token, os, smallest node) of a run that has been flushed in part
@@ -197,7 +210,7 @@ def _candidates(it, percent: int):
                     small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
                     fits = (node[x] != node[y]) & (100 * small >= percent * large)
                     x, y = x[fits], y[fits]
-                    yield out(PAIR, order[x], node[x], node[y])
+                    yield out(PAIR, order[x], node[x], node[y], least_shared(n[x], n[y], percent))
 
 
 def _with_end(it):
@@ -213,14 +226,15 @@ def groups(met: DataFrame, orders: int) -> DataFrame:
     families = components(stars.unionByName(tops.join(least, ["o", "token"]).select("o", "u", "v")), ["o"])
     every = [f"f{k}" for k in range(orders)]
     family = common.staged(families.groupBy("id").agg(*(F.max(F.when(F.col("o") == k, F.col("component"))).alias(f"f{k}") for k in range(orders))), "families")
-    pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, o))").alias("mask"))
+    pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.min("need").alias("need"), *(F.sum(F.when(F.col("o") == k, F.col("n"))).alias(f"n{k}") for k in range(orders)))
     left = family.select(F.col("id").alias("a"), *(F.col(f).alias(f"a{f}") for f in every))
     right = family.select(F.col("id").alias("b"), *(F.col(f).alias(f"b{f}") for f in every))
     both = pairs.join(left, "a", "left").join(right, "b", "left")
     same = [F.coalesce(F.col(f"a{f}") == F.col(f"b{f}"), F.lit(False)) for f in every]
     stays, together = F.lit(True), F.lit(True)
     for k in range(orders):
-        stays &= (F.col("mask").bitwiseAND(F.lit(1 << k)) != 0) | same[k]
+        # A pair that isn't of one family shares only tokens that gave pairs, so all of them have been counted.
+        stays &= (F.coalesce(F.col(f"n{k}"), F.lit(0)) >= F.col("need")) | same[k]
         together &= same[k]
     kept = common.staged(both.filter(stays).select("a", "b", together.alias("together")), "pairs")
     hot = family.dropna().groupBy(*every).agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("size")).filter("size > 1")
