@@ -61,7 +61,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     shards = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 1, common.new_folder(spark, "tokens"))
-    return wavelet.read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return wavelet.read_shards(shards, sums=True)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

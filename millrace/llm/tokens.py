@@ -30,6 +30,7 @@ def plain(text: str) -> bool:
 #: How byte-level vocabularies write bytes as characters (fixed values): printable ones as they are, the rest from 256 on.
 _AS_IS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARS = {b: b for b in _AS_IS} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_AS_IS}))}
+_SPACE = chr(_CHARS[32])
 
 
 class _Table(dict):
@@ -47,7 +48,7 @@ class _Table(dict):
 class Encoder:
     """ids(text) gives little-endian unsigned 32-bit ids. `words` bounds each of the two tables of words held."""
 
-    def __init__(self, path: str, words: int = 250_000):
+    def __init__(self, path: str, words: int = 350_000):
         from tokenizers import Tokenizer
 
         self.path, self.words = path, words
@@ -68,7 +69,11 @@ class Encoder:
         return b"".join(map(self._word, words)) == self._whole(probe)
 
     def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(_CHARS))]).tobytes()
+        if word.isascii() and word.isprintable():  # of these only the space is written as another character
+            word = word.replace(" ", _SPACE)
+        else:
+            word = word.encode().decode("latin-1").translate(_CHARS)
+        return array("I", [t.id for t in self.merge(word)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

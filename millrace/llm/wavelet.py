@@ -22,7 +22,7 @@ from . import common, tokens
 
 MAGIC, BLOCK = b"MLWM0001", 512
 SHARDS = "part int, shard int, path string, n_docs long, n_tokens long"
-ROWS = "doc_id long, start long, n_tokens long, ids binary"
+ROWS, SUMS = "doc_id long, start long, n_tokens long, ids binary", "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class WaveletMatrix:
@@ -196,11 +196,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
     return common.staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS), "shards")
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start (tokens of all documents before), n_tokens, ids of each document, from the files."""
+def read_shards(shards: DataFrame, sums: bool = False) -> DataFrame:
+    """doc_id, start (tokens of all documents before), n_tokens, ids of each document, from the files. sums: instead of the ids their CRC-32, as ids_crc32."""
 
     def run(it):
-        kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()) if sums else ("ids", pa.binary())])
 
         def rows(path: str, base: int):
             fs, name = common.open_fs(path)
@@ -208,14 +208,15 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 shard = Shard(f.read())
             data = memoryview(shard.matrix.values().astype("<u4").tobytes())
             for doc, a, b in zip(shard.doc_ids, shard.starts[:-1].tolist(), shard.starts[1:].tolist(), strict=True):
-                yield doc, base + a, b - a, bytes(data[4 * a : 4 * b])
+                own = data[4 * a : 4 * b]
+                yield doc, base + a, b - a, zlib.crc32(own) if sums else bytes(own)
 
         for batch in it:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from common.batches(rows(path, base), kinds, size=lambda r: len(r[3]))
+                yield from common.batches(rows(path, base), kinds, size=None if sums else lambda r: len(r[3]))
 
     # One row per shard: the list of files in order, far smaller than their tokens.
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     listed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     spread = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(spread).mapInArrow(run, ROWS)
+    return listed.repartition(spread).mapInArrow(run, SUMS if sums else ROWS)

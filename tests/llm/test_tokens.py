@@ -122,4 +122,5 @@ def test_shards_edges(spark, docs, edges):
         at += len(ids) // 4
     got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in wavelet.read_shards(shards).orderBy("start").collect()]
     assert got == want
+    assert [tuple(r) for r in wavelet.read_shards(shards, sums=True).orderBy("start").collect()] == want
     assert wavelet.read_shards(wavelet.write_shards(docs([]), WORD, 1, common.new_folder(spark, "t"))).collect() == []
