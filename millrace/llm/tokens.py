@@ -3,7 +3,8 @@
 Both vocabularies split a text into words first and merge inside a word only, so
 the ids of a text are those of its words in a row. A word's ids come from the
 library once and are then held in a bounded table. Texts with characters whose
-class or case could differ between Unicode versions go to the library whole.
+class or case could differ between Unicode versions, and texts that spell an added
+token of the file (<|endoftext|> and the like), go to the library whole.
 """
 
 from __future__ import annotations
@@ -53,11 +54,13 @@ class Encoder:
 
         self.path, self.words = path, words
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None
         self.split = None
-        if type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.pre_tokenizer is not None:
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # Added tokens that are looked for in the normalised text could be spelled in other ways.
+        if type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.pre_tokenizer is not None and not any(t.normalized for t in added):
             pattern = _WORD if self.lower else _BYTE
             self.split = pattern if self._alike(pattern) else None
         self.table = _Table(self._word)
@@ -81,7 +84,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split is None or not plain(text):
+        if self.split is None or any(a in text for a in self.added) or not plain(text):
             return self._whole(text)
         if len(self.table) > self.words:
             self.table = _Table(self._word, {**self.table})

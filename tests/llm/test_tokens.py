@@ -39,6 +39,32 @@ def test_words_give_the_texts_ids(path):
     same()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_as_the_unmodified_library(path):
+    t, coder = Tokenizer.from_file(path), encoder(path)
+    added = {a.content: k for k, a in t.get_added_tokens_decoder().items()}
+    assert coder.split is not None and added
+    for content, k in added.items():
+        assert k in np.frombuffer(coder.ids(f"end {content} start"), "<u4")
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from([*added, "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "a", "End", "é", "漢"]), max_size=12).map("".join))
+    def same(text):
+        assert np.frombuffer(coder.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+    same()
+
+
+def test_added_tokens_in_packing_and_shards(spark, docs):
+    texts = [(1, "end <|endoftext|> start"), (2, "one"), (3, "<|startoftext|>two<|endoftext|>")]
+    want = {p: [[*Tokenizer.from_file(p).encode(t, add_special_tokens=False).ids, 0] for _, t in texts] for p in (BYTE, WORD)}
+    got = packing.pack(docs(texts), BYTE, 0, 64).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == want[BYTE]
+    shards = wavelet.read_shards(wavelet.write_shards(docs(texts), WORD, 0, common.new_folder(spark, "t"))).orderBy("start").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in shards] == want[WORD]
+    assert [r.start for r in shards] == [sum(map(len, want[WORD][:k])) for k in range(3)]
+
+
 @given(st.lists(st.integers(1, 64), max_size=300))
 @settings(max_examples=200, deadline=None)
 def test_placements(lengths):
