@@ -41,6 +41,29 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return next(csv.reader([first[0].value.removeprefix("﻿")], delimiter=sep), []) if first else []
 
 
+def _one_line_each(spark: SparkSession, path: str, sep: str) -> bool:
+    """Whether every row of a file is one line, found over all lines: quotes only open and close whole values within a line."""
+    mark, stop = "\x01", re.escape(sep)
+    # Values in quotes, and the parts of one at doubled quotes, become marks, which only delimiters and line ends may touch.
+    marked = F.regexp_replace("value", '"[^"]*"', mark)
+    odd = F.rlike(marked, F.lit(f'"|[^{stop}{mark}]{mark}|{mark}[^{stop}{mark}]'))
+    return spark.read.text(spark_path(path)).filter(F.contains("value", F.lit('"')) & odd).isEmpty()
+
+
+def _line_end(spark: SparkSession, path: str) -> dict[str, str]:
+    """Options for line ends: where all lines end in \\r\\n that is said, as values would lose the \\r otherwise."""
+    lines = spark.read.option("lineSep", "\n").text(spark_path(path))
+    return {"lineSep": "\r\n"} if lines.filter(~F.endswith("value", F.lit("\r"))).isEmpty() else {}
+
+
+def _closed(spark: SparkSession, path: str, raw: DataFrame) -> bool:
+    """Whether no file ends within quotes, which would make one value of the rest: a last value of many lines needs a quote at the file's end."""
+    file, at = F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")
+    ends = spark.read.text(spark_path(path)).select(file, F.struct(F.col("_metadata.file_block_start"), at).alias("at"), F.rtrim("value").alias("v")).filter("v != ''").groupBy("file").agg(F.max_by("v", "at").alias("end"))
+    last = raw.select(file, at, quoted(raw.columns[-1]).alias("v")).groupBy("file").agg(F.max_by("v", "at").alias("v"))
+    return last.join(ends, "file").filter(F.rlike("v", F.lit("[\r\n]")) & ~F.endswith("end", F.lit('"'))).isEmpty()
+
+
 def _names(found: list[str]) -> list[str]:
     """Names of a header; repeated ones get _1, _2 and so on."""
     seen: dict[str, int] = {}
@@ -54,15 +77,28 @@ def _names(found: list[str]) -> list[str]:
 
 
 def infer_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A CSV file with types by one pass over all values: for each column the first candidate that every value fits, else text."""
+    """A CSV file with types by one pass over all values: for each column the first candidate that every value fits, else text.
+
+    Quoted values may hold line breaks; files without any are read in splits. Rows
+    with more or fewer values than the first fail, and so do quotes left open over
+    lines. In files of mixed line ends a quoted \\r\\n may become \\n.
+    """
     sep = delimiter(spark, path)
-    first = _header(spark, path, sep)
+    split = _one_line_each(spark, path, sep)
+    reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", not split).option("mode", "FAILFAST").option("enforceSchema", True)
+    if split:
+        first = _header(spark, path, sep)
+    else:
+        reader = reader.options(**_line_end(spark, path))
+        first = [(v or "").removeprefix("\ufeff") for v in reader.csv(spark_path(path)).first() or []]
     names = _names(first) if header else [f"column{k}" for k in range(len(first))]
     if not names:
         raise ValueError(f"{path} has no columns")
-    reader = spark.read.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", False).option("enforceSchema", True)
+    reader = reader.option("header", header)
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = reader.schema(texts).csv(spark_path(path))
+    if not split and not _closed(spark, path, raw):
+        raise ValueError(f"{path} ends within quotes")
     misfits = []
     for n in names:
         value = F.trim(quoted(n))

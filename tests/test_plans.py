@@ -204,6 +204,48 @@ def test_csv_headers(spark, tmp_path):
     assert infer(spark, "csv", str(tmp_path / "x.csv"), header=False).names == ["column0", "column1", "column2"]
 
 
+@pytest.mark.parametrize(
+    ("text", "rows"),
+    [
+        ('id,t\n1,"one\ntwo"\n2,plain\n', [(1, "one\ntwo"), (2, "plain")]),
+        ('id,t\n1,"a ""b"", c"\n2,""\n', [(1, 'a "b", c'), (2, None)]),
+        ('id,t\n1,"x"",\n""y"\n2,"\n\n3,z"\n', [(1, 'x",\n"y'), (2, "\n\n3,z")]),
+        ('id,t\n1,x"\n2,y\n', [(1, 'x"'), (2, "y")]),
+        ('id;t\r\n1;"one\r\ntwo"\r\n', [(1, "one\r\ntwo")]),
+    ],
+)
+def test_csv_line_breaks(spark, tmp_path, text, rows):
+    from millrace.sources.files import infer
+
+    (tmp_path / "x.csv").write_text(text, newline="")
+    assert [tuple(r) for r in infer(spark, "csv", str(tmp_path / "x.csv")).df.collect()] == rows
+
+
+def test_csv_line_break_in_header(spark, tmp_path):
+    from millrace.sources.files import infer
+
+    (tmp_path / "x.csv").write_text('"a\nb",c\n1,2\n')
+    found = infer(spark, "csv", str(tmp_path / "x.csv"))
+    assert found.names == ["a\nb", "c"] and [tuple(r) for r in found.df.collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("text", ["id,t\n2,plain\n3,x,extra\n", "id,t\n2,plain\n3\n", 'id,t\n1,"one\ntwo"\n3,x,extra\n'])
+def test_csv_ragged_rows_fail(spark, tmp_path, text):
+    from millrace.sources.files import infer
+
+    (tmp_path / "x.csv").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED"):
+        infer(spark, "csv", str(tmp_path / "x.csv"))
+
+
+def test_csv_open_quote_fails(spark, tmp_path):
+    from millrace.sources.files import infer
+
+    (tmp_path / "x.csv").write_text('id,t\n1,"abc\n2,y\n3,z\n')
+    with pytest.raises(ValueError, match="ends within quotes"):
+        infer(spark, "csv", str(tmp_path / "x.csv"))
+
+
 def test_declared(spark, people):
     from millrace.sources.files import read
 
