@@ -260,7 +260,7 @@ def viterbi(emit: np.ndarray, moves: np.ndarray, before: bool, after: bool) -> l
 
 
 def added_spans(text: str, tagger: Tagger, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the field that touch no base span, without quotes and stops around them."""
+    """Spans of the field but for those within a base span, without quotes and stops around them. They may reach beyond base spans."""
     words = text.split()
     tagged = tagger.tags(words, file_key(text)) if words else []
     if not tagged:
@@ -280,7 +280,7 @@ def added_spans(text: str, tagger: Tagger, base: list[tuple[str, int, int]]) ->
         part = text[a:b]
         a += len(part) - len(part.lstrip("\"'`([{<"))
         b -= len(part) - len(part.rstrip("\"'`)]}>,;.:!?#$%&*"))
-        if a < b and not any(a < e and s < b for _, s, e in base):
+        if a < b and not any(s <= a and b <= e for _, s, e in base):
             out.append(("crf", a, b))
     return out
 

@@ -103,6 +103,19 @@ def test_field_learns_and_adds(model):
     assert all(secrets.added_spans(prose(k, 200), tagger, []) == [] for k in range(2000, 2050))
 
 
+def test_field_extends_base_spans():
+    class All:  # tags every word with a digit, in one run
+        def tags(self, words, file):
+            at = [i for i, w in enumerate(words) if any(c.isdigit() for c in w)]
+            return [(i, secrets.I if i - 1 in at else secrets.B) for i in at]
+
+    text = 'a token = "Summer2024!Secure#9" b password=abcdef1 c token=abcdef2!x 3y9 d'
+    base = secrets.base_spans(text)
+    added = secrets.added_spans(text, All(), base)
+    assert [text[a:b] for _, a, b in added] == ["Summer2024!Secure#9", "token=abcdef2!x 3y9"]
+    assert secrets.redacted(text, sorted(base + added, key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))) == 'a <secret>" b <secret> c <secret> d'
+
+
 def test_pruned_viterbi_is_exact():
     r = np.random.default_rng(3)
     for trial in range(200):
