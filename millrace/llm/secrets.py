@@ -62,7 +62,7 @@ def key(word: str) -> str:
     if len(stem) < 20 and stem.isalpha():
         case = "a" if stem.islower() else "A" if stem.isupper() else "Aa" if stem[0].isupper() else "aA"
         return f"{case}|{tail}|{name}|{min(len(stem) // 6, 3)}"
-    shape = re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"0+", "0", re.sub(r"[^\W\d_]", lambda m: "a" if m[0].islower() else "A", re.sub(r"\d", "0", word[:80])))))
+    shape = re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"0+", "0", re.sub(r"[^\W\d_]", lambda m: "a" if m[0].islower() else "A", re.sub(r"\d", "0", word)))))
     mixed = "m" if re.search(r"[A-Za-z]", word) and re.search(r"\d", word) else ""
     size = len(word)
     many = min(len(set(word)) // 6, 4)

@@ -103,6 +103,13 @@ def test_field_learns_and_adds(model):
     assert all(secrets.added_spans(prose(k, 200), tagger, []) == [] for k in range(2000, 2050))
 
 
+def test_shape_of_the_whole_word():
+    # Both are 96 characters of 17 kinds; they differ after the 80th only.
+    a, b = "abcdefghijklmnop" * 5 + "a" * 15 + "1", "abcdefghijklmnop" * 5 + "a1" * 8
+    assert len(a) == len(b) == 96 and secrets.key(a).split("|")[1:] == secrets.key(b).split("|")[1:]
+    assert secrets.key(a).split("|")[0] == "a0" and secrets.key(b).split("|")[0] == "x"
+
+
 def test_field_extends_base_spans():
     class All:  # tags every word with a digit, in one run
         def tags(self, words, file):
