@@ -409,11 +409,22 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents (any columns) without near copies: of each component the row of the smallest doc_id stays, of equal ids the first text."""
-    found = join(docs, size, percent).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    """The documents (any columns) without near copies: of each component the row of the smallest doc_id stays, of equal ids the first text.
+
+    Rows with a null doc_id are numbered after all others by text and compared as rows of their own.
+    """
+    unnamed, pairs = docs.filter("doc_id is null"), docs.select("doc_id", "text")
+    if not unnamed.isEmpty():
+        top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+        number = F.monotonically_increasing_id() + F.lit(max(top, 0) + 1)
+        unnamed = common.staged(unnamed.orderBy("text").withColumn("__row", number), "unnamed")
+        pairs = pairs.filter("doc_id is not null").unionByName(unnamed.select(F.col("__row").alias("doc_id"), "text"))
+    found = join(pairs, size, percent).filter("doc_id = component_id").select("doc_id").distinct()
     same = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     known = docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").withColumn("__same", same).filter("__same = 1").drop("__same")
-    return known.unionByName(docs.filter("doc_id is null"))
+    if "__row" not in unnamed.columns:
+        return known
+    return known.unionByName(unnamed.join(found.withColumnRenamed("doc_id", "__row"), "__row", "left_semi").drop("__row"))
 
 
 #: join(documents, 4, 85) in DuckDB's SQL, by all pairs that share a shingle.

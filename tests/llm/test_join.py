@@ -93,6 +93,12 @@ def test_keep_one(docs, rows, edges):
     assert got[None] == 2 and got[5] == 1 and got[8] == 0 and got[1] == 1
 
 
+def test_keep_one_compares_rows_without_id(docs):
+    rows = [(None, prose(1, 40)), (None, prose(1, 40)), (3, prose(2, 40)), (None, prose(2, 40)), (None, prose(3, 40)), (None, prose(3, 40) + " end"), (None, None)]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(docs(rows), 5, 80).collect())
+    assert got == Counter([(None, prose(1, 40)), (3, prose(2, 40)), (None, prose(3, 40)), (None, None)])
+
+
 def test_candidate_batches(monkeypatch):
     """Runs that go over the ends of batches."""
     import pyarrow as pa
