@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 Documents are tokenised and cut once, in parallel, and staged. Pieces are then
-packed in bulk-synchronous rounds. Pieces and gaps are held range-sorted by
+packed in bulk-synchronous rounds, which one loop on the driver runs over the
+distributed counts of lengths. Pieces and gaps are held range-sorted by
 length, as runs of equal lengths; a piece is known by its length and its rank
 among the pieces of that length, which distributed counts give. In each round
 
