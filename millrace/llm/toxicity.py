@@ -2,7 +2,8 @@
 
 A word is itself and its character n-grams, hashed into buckets; its vector is the
 mean of their vectors, and a text's vector is the mean over its words. Vectors and
-softmax are trained together in numpy on a bounded sample of labelled rows. As the
+softmax are trained in numpy on a bounded sample of labelled rows; the softmax's
+steps are so small that its direction is in effect fixed. As the
 softmax is linear in a mean, a text's score needs one number a word, which tasks
 look up; unseen spellings get theirs from n-grams that they share with seen words.
 """
