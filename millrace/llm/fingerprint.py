@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.string())], names=["doc_id", "fingerprint"])
 
-    return common.lean(docs).select("doc_id", common.text_column(docs).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return common.lean(docs).select("doc_id", common.text_column(docs).alias("text")).mapInArrow(common.frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def neighbours(docs: DataFrame, visit, schema: str, parts: int | None = None) -> DataFrame:
@@ -139,7 +139,7 @@ def neighbours(docs: DataFrame, visit, schema: str, parts: int | None = None) ->
     from pyspark.sql.types import StructType
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(common.frugal(run), schema)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 64 << 20)
             yield close()
 
     rows = common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text"))
-    rows.mapInArrow(run, FILES).write.parquet(f"{folder}/{LISTED}")
+    rows.mapInArrow(common.frugal(run), FILES).write.parquet(f"{folder}/{LISTED}")
     return docs.sparkSession.read.schema(FILES).parquet(f"{folder}/{LISTED}")
 
 
@@ -208,4 +208,4 @@ def describe(members: DataFrame) -> DataFrame:
             yield from common.batches(iter(out), kinds)
 
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-    return members.select("meta", "media").mapInArrow(run, schema)
+    return members.select("meta", "media").mapInArrow(common.frugal(run), schema)

@@ -95,7 +95,7 @@ def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.
                     sets, held = [], 0
         yield counted(sets)
 
-    found = docs.select(common.text_column(docs).alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = docs.select(common.text_column(docs).alias("text")).mapInArrow(common.frugal(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "token").limit(most).toArrow()
     tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(tokens)
@@ -127,7 +127,7 @@ def prefixed(docs: DataFrame, size: int, percent: int, orders: int, often) -> Da
                 columns += [pa.ListArray.from_arrays(edges, np.concatenate(parts[k]) if parts[k] else np.empty(0, np.int64)), pa.array(ends[k], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "hi", "lo", *(x for k in range(orders) for x in (f"p{k}", f"c{k}"))])
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(common.frugal(run), schema)
 
 
 CANDIDATES = "kind int, o int, a long, b long, n int, need int"
@@ -151,7 +151,7 @@ def postings(nodes: DataFrame, orders: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array((k * (SALTS + 1) + salt).astype(np.int32)), pa.array(owner), pa.array(np.repeat(n, sizes).astype(np.int32))], names=["token", "os", "node", "n"])
 
     columns = [x for k in range(orders) for x in (f"p{k}", f"c{k}")]
-    rows = nodes.select("node", "n", *columns).mapInArrow(run, "token long, os int, node long, n int")
+    rows = nodes.select("node", "n", *columns).mapInArrow(common.frugal(run), "token long, os int, node long, n int")
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(spread, "token", "os").sortWithinPartitions("token", "os", "node")
 
@@ -337,7 +337,7 @@ def verified(docs: DataFrame, members: DataFrame, copies: DataFrame, size: int,
             yield b.filter(pa.array((held.value[at >> 3] >> (at & 7) & 1).astype(bool))).select(["doc_id", "text"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).filter("doc_id is not null")
-    texts = rows.withColumn("at", place).mapInArrow(hit, "doc_id long, text string").withColumnRenamed("doc_id", "node")
+    texts = rows.withColumn("at", place).mapInArrow(common.frugal(hit), "doc_id long, text string").withColumnRenamed("doc_id", "node")
     keys = ["kind", "g", "i", "j"]
     dealt = texts.join(members.join(copies, "node"), "node").select(*keys, "own", "node", "copies", "text")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -374,7 +374,7 @@ def verified(docs: DataFrame, members: DataFrame, copies: DataFrame, size: int,
 
         yield from common.batches(rows(), kinds)
 
-    return common.staged(dealt.mapInArrow(run, "node long, other long, n long"), "verified")
+    return common.staged(dealt.mapInArrow(common.frugal(run), "node long, other long, n long"), "verified")
 
 
 def join(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS) -> DataFrame:
@@ -395,7 +395,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85, orders: int = ORDERS
     held = [x for k in range(orders) for x in (f"p{k}", f"c{k}")]
     whole = table.filter("n > 0 and doc_id is not null")
     nodes = whole.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", *held)).alias("x"), F.min("n").alias("n"))
-    met = common.staged(postings(nodes.select(F.col("x.doc_id").alias("node"), "n", *(F.col(f"x.{c}") for c in held)), orders).mapInArrow(lambda it: _candidates(it, percent), CANDIDATES), "candidates")
+    met = common.staged(postings(nodes.select(F.col("x.doc_id").alias("node"), "n", *(F.col(f"x.{c}") for c in held)), orders).mapInArrow(common.frugal(lambda it: _candidates(it, percent)), CANDIDATES), "candidates")
     ids = common.staged(whole.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
     sized = ids.groupBy("node").agg(F.sum("copies").alias("copies"))
     found = verified(docs, groups(met, orders), sized, size, percent, orders, often)

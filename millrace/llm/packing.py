@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("local", pa.int64())]
         yield from common.batches(rows(), pa.schema(kinds), size=lambda r: len(r[4]))
 
-    return common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(run, PIECES)
+    return common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(common.frugal(run), PIECES)
 
 
 class Gaps:
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
             names = [*batch.schema.names[:-1], "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=names)
 
-    return ranked.select(*order).mapInArrow(run, schema)
+    return ranked.select(*order).mapInArrow(common.frugal(run), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

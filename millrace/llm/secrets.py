@@ -108,7 +108,12 @@ def chunks(text: str) -> Iterator[tuple[list[str], list[int]]]:
 
 
 def sample(docs: DataFrame, documents: int = 8192, most: int = 3000) -> tuple[list[tuple[str, list[str], list[int]]], list[tuple[str, list[str], list[int]]]]:
-    """At most `most` labelled chunks with a secret and as many without, from about `documents` documents chosen by a hash of doc_id."""
+    """At most `most` labelled chunks with a secret and as many without, from about `documents` documents chosen by a hash of doc_id.
+
+    A chosen document is read whole and gives all its chunks with a secret, and the
+    first of those without: prose is much the same throughout, and a long document
+    would outnumber many short ones.
+    """
     total = docs.count()
     if not total:
         return [], []
@@ -130,8 +135,8 @@ def sample(docs: DataFrame, documents: int = 8192, most: int = 3000) -> tuple[li
 
     order = F.xxhash64(F.lit(10), F.col("doc_id").cast("string"))
     picked = common.lean(docs).filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000)).select(common.text_column(docs).alias("text"))
-    found = picked.mapInArrow(run, "hit boolean, file string, keys array<string>, tags array<int>")
-    ranked = found.withColumn("order", F.xxhash64("keys", "tags"))
+    found = picked.mapInArrow(common.frugal(run), "hit boolean, file string, keys array<string>, tags array<int>")
+    ranked = common.staged(found.withColumn("order", F.xxhash64("keys", "tags")), "chunks")
     top = ranked.filter("hit").orderBy("order").limit(most).unionByName(ranked.filter("not hit").orderBy("order").limit(most)).toArrow().to_pylist()
     top.sort(key=lambda r: (not r["hit"], r["order"]))
     return tuple([(r["file"], r["keys"], r["tags"]) for r in top if r["hit"] == want] for want in (True, False))
@@ -149,8 +154,11 @@ def train(rows: list[tuple[str, list[str], list[int]]], steps: int = 60, rate: f
         tags[r, : len(ts)] = ts
     places = [ids[:, 2 : 2 + CHUNK], ids[:, 1 : 1 + CHUNK], ids[:, :CHUNK], ids[:, 3 : 3 + CHUNK], np.repeat(np.array([[at[f]] for f, _, _ in rows]), CHUNK, 1)]
     real = tags >= 0
-    link_k = np.concatenate([[at[k]] * len(parts(k)) for k in keys]).astype(np.int64)
-    link_f = np.concatenate([[names[p] for p in parts(k)] for k in keys]).astype(np.int64)
+    # Which features each key has, by key and by feature; both orders have sums of runs.
+    sizes = np.array([0] + [len(parts(k)) for k in keys])
+    link_k, link_f = np.repeat(np.arange(m), sizes), np.array([names[p] for k in keys for p in parts(k)])
+    order = np.argsort(link_f, kind="stable")
+    runs_k, runs_f = np.cumsum(sizes)[:-1], np.searchsorted(link_f[order], np.arange(len(names)))
     weights, moves = np.zeros((len(names), PLACES, TAGS)), np.zeros((TAGS, TAGS))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
     gold = np.zeros((n, CHUNK, TAGS))
@@ -159,7 +167,7 @@ def train(rows: list[tuple[str, list[str], list[int]]], steps: int = 60, rate: f
     scale = 1.0 / max(1, real.sum())
     for step in range(1, steps + 1):
         table = np.zeros((m, PLACES, TAGS))
-        np.add.at(table, link_k, weights[link_f])
+        table[1:] = np.add.reduceat(weights[link_f], runs_k)
         emit = sum(table[p, j] for j, p in enumerate(places)) * real[:, :, None]
         back = np.zeros((n, CHUNK, TAGS))
         ahead = np.empty((n, CHUNK, TAGS))
@@ -179,8 +187,7 @@ def train(rows: list[tuple[str, list[str], list[int]]], steps: int = 60, rate: f
             for tag in range(TAGS):
                 by_key[:, j, tag] = np.bincount(p.ravel(), error[:, :, tag].ravel(), m)
         by_key[0] = 0
-        slope = np.zeros_like(weights)
-        np.add.at(slope, link_f, by_key[link_k])
+        slope = np.add.reduceat(by_key[link_k[order]], runs_f)
         for k, (x, g) in enumerate(((weights, slope * scale + decay * scale * weights), (moves, (pairs.sum((0, 1)) - gold_moves) * scale))):
             one, two = state[2 * k], state[2 * k + 1]
             one += 0.1 * (g - one)
@@ -290,7 +297,7 @@ def find(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null and empty texts have none. One row per input row, whatever its doc_id.
     """
-    return common.lean(docs).select(F.col("doc_id"), common.text_column(docs).alias("text")).mapInArrow(_scanner(docs, model, False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return common.lean(docs).select(F.col("doc_id"), common.text_column(docs).alias("text")).mapInArrow(common.frugal(_scanner(docs, model, False)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
 def _scanner(docs: DataFrame, model: Model | None, clean: bool):
@@ -329,7 +336,7 @@ def redact(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents (any columns) with the secrets in their texts replaced; null texts become empty."""
     rest = [c for c in docs.columns if c != "text"]
     rows = common.lean(docs).select(*(F.col(f"`{c}`") for c in rest), common.text_column(docs).alias("text"))
-    return rows.mapInArrow(_scanner(docs, model, True), rows.schema).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.mapInArrow(common.frugal(_scanner(docs, model, True)), rows.schema).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def joined(spans: str, kinds: list[str] | None = None):

@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from . import common
+
 _LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 #: Splitting patterns of the two vocabularies (fixed values), with the classes written out for the plain characters below.
 _BYTE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
@@ -94,6 +96,15 @@ class Encoder:
 _HELD: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    """Encoders stay, their words go."""
+    for e in _HELD.values():
+        e.table = _Table(e._word)
+
+
+common.HELD.append(_forget)
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
     if path not in _HELD:

@@ -129,7 +129,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = 64 <<
         if lines:
             yield close()
 
-    return common.staged(originals(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(run, RUNS), "runs")
+    return common.staged(originals(pages, least).select("page_id", "url", "html", "refers_to").mapInArrow(common.frugal(run), RUNS), "runs")
 
 
 def _store(fs, name: str, path: str, lines) -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def merge(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int = 64, p
                 name = common.attempt_name("merged", ".run")
                 yield _store(fs, f"{base}/{name}", f"{folder}/{name}", _merged(group, None, None))
 
-        listed = common.staged(groups.select("path", "sparse", "g").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").mapInArrow(join, RUNS), "merged")
+        listed = common.staged(groups.select("path", "sparse", "g").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").mapInArrow(common.frugal(join), RUNS), "merged")
     # At most fan_in rows, each with at most MOST keys.
     known = [(r.path, json.loads(zlib.decompress(bytes(r.sparse)))) for r in listed.select("path", "sparse").orderBy("path").collect()]
     keys = sorted(s[0][0] for _, sparse in known for s in sparse)
@@ -247,7 +247,7 @@ def merge(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int = 64, p
                 rows = ((*x[:2], None if x[2] < 0 else x[2], *x[3:], part, k) for k, x in enumerate(_merged(held.value, low, high)))
                 yield from common.batches(rows, kinds)
 
-    return ranges.repartition(len(cuts) + 1, "part").mapInArrow(run, CAPTURES)
+    return ranges.repartition(len(cuts) + 1, "part").mapInArrow(common.frugal(run), CAPTURES)
 
 
 def read(captures: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def read(captures: DataFrame) -> DataFrame:
 
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = captures.select("archive", "offset", "length").repartition(n, "archive", F.floor(F.col("offset") / (8 << 20)))
-    return spread.sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    return spread.sortWithinPartitions("archive", "offset").mapInArrow(common.frugal(run), schema)
 
 
 #: What op8 returns, in DuckDB's SQL: the SHA-1 in base 32, eight digits for every five bytes.

@@ -193,7 +193,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
             yield close()
 
     rows = common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text"))
-    return common.staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS), "shards")
+    return common.staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(common.frugal(run), SHARDS), "shards")
 
 
 def read_shards(shards: DataFrame, sums: bool = False) -> DataFrame:
@@ -219,4 +219,4 @@ def read_shards(shards: DataFrame, sums: bool = False) -> DataFrame:
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     listed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     spread = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(spread).mapInArrow(run, SUMS if sums else ROWS)
+    return listed.repartition(spread).mapInArrow(common.frugal(run), SUMS if sums else ROWS)
