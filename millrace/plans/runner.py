@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators import OPERATORS
+from millrace.session import spark_path
 from millrace.sources import files, sinks  # noqa: F401  registers DataSource
 
 from . import graph
@@ -142,41 +143,53 @@ class Run:
                 raise WorkflowError("DUPLICATE_SINK_TARGET", "validate_sinks", f"several sinks have the target table {s.target_table!r}")
             targets.add(s.target_table.strip().lower())
         views: list[str] = []
+        copies: list[str] = []
         try:
             self.relations()
-            results = [self._sink(s, views) for s in self.spec.sinks]
+            results = [self._sink(s, views, copies) for s in self.spec.sinks]
         except BaseException:
             for v in views:
                 self.spark.catalog.dropTempView(v)
+            for path in copies:
+                sinks.remove(self.spark, path)
             raise
         finally:
-            # Views stay after the run and read what was kept, which Spark computes anew where it has gone.
+            # Views stay after the run; they read the copies.
             for df in self.kept:
                 df.unpersist()
         return results
 
-    def _sink(self, sink, views: list[str]) -> SinkResult:
+    def _sink(self, sink, views: list[str], copies: list[str]) -> SinkResult:
         node, label = sink_ref(sink.node_id)
         ref = f"{node.lower()}:{label}" if label else node.lower()
         if ref not in self.state:
             raise WorkflowError("SINK_RESOLUTION_FAILED", "resolve_sink", f"output {sink.node_id!r} isn't available", node)
         relation, name = self.state[ref], sink.target_table.strip()
         target = {k: (v or "").strip() for k, v in (sink.target or {}).items()}
+        stage, path = "materialize_sink", ""
         try:
-            sinks.to_view(relation.df, name)
+            if self.spark.catalog.tableExists("`" + name.replace("`", "``") + "`"):
+                raise ValueError(f"table {name} exists already")
+            if target.get("format") == "parquet":  # the file itself is the copy
+                stage = "export_sink"
+                n = sinks.to_file(relation.df, target["path"], "parquet")
+                path = spark_path(target["path"])
+            else:
+                path, n = sinks.to_copy(relation.df, name)
+                copies.append(path)
+                if target:
+                    stage = "export_sink"
+                    sinks.to_file(relation.df, target["path"], target["format"])
+            stage = "materialize_sink"
+            sinks.to_view(sinks.copied(self.spark, relation.df.schema, path), name)
             views.append(name)
         except Exception as e:
-            raise WorkflowError("SINK_MATERIALIZE_FAILED", "materialize_sink", str(e).splitlines()[0], node, cause=e) from e
-        stage, code = ("export_sink", "SINK_MATERIALIZE_FAILED") if target else ("count_sink", "SINK_MATERIALIZE_FAILED")
-        try:
-            n = sinks.to_file(relation.df, target["path"], target["format"]) if target else relation.df.count()
-        except Exception as e:
-            raise WorkflowError(code, stage, str(e).splitlines()[0], node, cause=e) from e
+            raise WorkflowError("SINK_MATERIALIZE_FAILED", stage, str(e).splitlines()[0], node, cause=e) from e
         return SinkResult(sink.node_id, name, target.get("path", ""), target.get("format", ""), self.tables[ref], n)
 
 
 def run(spark: SparkSession, spec: Spec, **options) -> list[SinkResult]:
-    """Runs a pipeline; its target tables are views of the session afterwards."""
+    """Runs a pipeline; its target tables are views of the session afterwards, over copies or the files written."""
     if spark is None or spec is None:
         raise WorkflowError("INVALID_ARGUMENT", "arguments", "a session and a pipeline are required")
     return Run(spark, spec, **options).run()

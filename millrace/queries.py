@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans.runner import output
+from millrace.operators import OPERATORS
+from millrace.operators.columns import change_schema
+from millrace.plans.relation import Relation
+from millrace.plans.runner import output, run
 from millrace.plans.spec import load
+from millrace.sources import sinks
 
 Node = dict
 
@@ -164,6 +171,17 @@ plan("pipeline_diamond", "events", [node("a", "Filter", "events", rules=[rule("v
 plan("pipeline_branch_sinks", "events", [node("c", "Conditional", "events", rules=[rule("value", "gt", 100)]), node("s", "Switch", "events", branches=_BRANCHES)], "SELECT * FROM events WHERE value > 250", "s:big")
 
 
+_DAY = "CAST(o_orderdate AS DATE)"
+plan("raw_strings", "customer", [node("c", "ComputeColumn", "customer", columns=[col("up", "VARCHAR", "upper(c_name)"), col("part", "VARCHAR", "substr(c_name, 1, 4)"), col("at", "BIGINT", "strpos(c_name, '#')"), col("first", "VARCHAR", "string_split(c_name, '#')[1]"), col("both", "VARCHAR", "concat(c_mktsegment, '-', c_name)"), col("like9", "BOOLEAN", "regexp_matches(c_name, '9+')")])], "SELECT *, upper(c_name) AS up, substr(c_name, 1, 4) AS part, strpos(c_name, '#') AS at, string_split(c_name, '#')[1] AS first, concat(c_mktsegment, '-', c_name) AS both, regexp_matches(c_name, '9+') AS like9 FROM customer")
+plan("raw_groups", "customer", [node("c", "ComputeColumn", "customer", columns=[col("one", "VARCHAR", "regexp_replace(c_name, '([A-Z])([a-z]+)', '\\2$\\1')"), col("every", "VARCHAR", "regexp_replace(c_name, '([0-9])', '<\\1>', 'g')"), col("whole", "VARCHAR", "regexp_replace(c_name, 'CUST', '[\\0]', 'i')")])], "SELECT *, regexp_replace(c_name, '([A-Z])([a-z]+)', '\\2$\\1') AS one, regexp_replace(c_name, '([0-9])', '<\\1>', 'g') AS every, regexp_replace(c_name, 'CUST', '[\\0]', 'i') AS whole FROM customer")
+plan("raw_dates", "orders", [node("c", "ComputeColumn", "orders", columns=[col("d", "DATE", _DAY), col("y", "BIGINT", "year(o_orderdate)"), col("w", "BIGINT", "week(o_orderdate)"), col("wd", "BIGINT", "dayofweek(o_orderdate)"), col("text", "VARCHAR", "strftime(o_orderdate, '%Y/%m/%d')"), col("month", "TIMESTAMP", "date_trunc('month', o_orderdate)"), col("age", "BIGINT", f"datediff('day', {_DAY}, DATE '2024-06-01')")])], f"SELECT *, {_DAY} AS d, year(o_orderdate) AS y, week(o_orderdate) AS w, dayofweek(o_orderdate) AS wd, strftime(o_orderdate, '%Y/%m/%d') AS text, date_trunc('month', o_orderdate)::TIMESTAMP AS month, datediff('day', {_DAY}, DATE '2024-06-01') AS age FROM orders")
+plan("raw_math", "lineitem", [node("c", "ComputeColumn", "lineitem", columns=[col("whole", "BIGINT", "l_orderkey // 7"), col("rest", "BIGINT", "l_orderkey % 7"), col("up", "BIGINT", "ceil(l_discount)"), col("size", "DOUBLE", "abs(l_tax - l_discount)"), col("most", "DOUBLE", "greatest(l_tax, l_discount)")])], "SELECT *, l_orderkey // 7 AS whole, l_orderkey % 7 AS rest, ceil(l_discount)::BIGINT AS up, abs(l_tax - l_discount) AS size, greatest(l_tax, l_discount) AS most FROM lineitem")
+plan("raw_conditions", "events", [node("c", "ComputeColumn", "events", columns=[col("none", "VARCHAR", "nullif(event_type, 'click')"), col("known", "VARCHAR", "coalesce(nullif(event_type, 'click'), 'other')"), col("band", "VARCHAR", "CASE WHEN value > 200 THEN 'high' WHEN value > 50 THEN 'mid' ELSE 'low' END"), col("n", "INTEGER", "CAST(user_id AS INTEGER)")])], "SELECT *, nullif(event_type, 'click') AS none, coalesce(nullif(event_type, 'click'), 'other') AS known, CASE WHEN value > 200 THEN 'high' WHEN value > 50 THEN 'mid' ELSE 'low' END AS band, user_id::INTEGER AS n FROM events")
+plan("raw_json", "events", [node("c", "ComputeColumn", "events", columns=[col("k", "INTEGER", "CAST(json_extract(props, '$.k') AS INTEGER)")])], "SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+_GAPS = "nullif(o_orderstatus, 'F')"
+plan("window_nulls", "orders", [node("c", "ComputeColumn", "orders", columns=[col("place", "BIGINT", f"row_number() over (partition by o_custkey order by {_GAPS}, o_orderkey desc)"), col("before", "BIGINT", f"lag(o_orderkey) over (partition by o_custkey order by {_GAPS} desc, o_orderkey)"), col("upto", "BIGINT", f"count(*) over (order by {_GAPS}, o_orderkey nulls first rows between unbounded preceding and current row)")])], f"SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_GAPS}, o_orderkey DESC) AS place, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY {_GAPS} DESC, o_orderkey) AS before, count(*) OVER (ORDER BY {_GAPS}, o_orderkey NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM orders")
+
+
 def document(name: str, sf: str) -> dict:
     """The JSON document of a query."""
     tables, nodes, ref, _ = PLANS[name]
@@ -174,5 +192,99 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: output(spark, load(document(name, sf_dir)), PLANS[name][2])
 
 
-QUERIES = {name: _query(name) for name in PLANS}
-ORACLE_SQL = {name: p[3] for name, p in PLANS.items()}
+def _scratch(spark: SparkSession) -> str:
+    """A new folder beside what the cluster shares; of this machine where nothing is set, as in tests. It goes when the program ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/millrace-files-{uuid.uuid4().hex}"
+    atexit.register(lambda: _gone(spark, path))
+    return path
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    try:
+        sinks.remove(spark, path)
+    except Exception:  # the session has ended; the folder's own policy applies
+        return
+
+
+def _read(spark: SparkSession, config: dict) -> DataFrame:
+    nodes = [{"id": "file", "type": "DataSource", "config": config}]
+    return output(spark, load({"pipeline_id": "files", "version": 1, "nodes": nodes, "sinks": [{"node_id": "file", "target_table": "out"}]}), "file")
+
+
+def _declared(*columns: str) -> list[dict]:
+    return [dict(zip(("name", "sql_type"), c.split(), strict=True)) for c in columns]
+
+
+def _by_csv(table: str, of: list[str] | None = None, single: bool = False, **config) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that writes columns of a table as CSV and reads that back as a data source."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        path = f"{_scratch(spark)}/{table}" + (".csv" if single else "")
+        sinks.to_file(df.select(*of) if of else df, path, "csv")
+        return _read(spark, {"format": "csv", "path": path, "mode": "infer"} | config)
+
+    return query
+
+
+def _by_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_scratch(spark)}/events"
+    sinks.to_file(spark.read.parquet(f"{sf_dir}/events.parquet"), path, "parquet")
+    return _read(spark, {"format": "parquet", "path": path, "mode": "declared", "columns": _declared("event_type VARCHAR", "event_id BIGINT", "value DOUBLE")})
+
+
+def _run_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from CSV to five sinks: rows as told, and rows found in each table afterwards."""
+    folder, mark = _scratch(spark), uuid.uuid4().hex[:8]
+    sinks.to_file(spark.read.parquet(f"{sf_dir}/customer.parquet"), f"{folder}/customer", "csv")
+    targets = [None, ("csv", "all.csv"), ("csv", "all"), ("parquet", "all.parquet"), ("parquet", "parts")]
+    nodes = [{"id": "src", "type": "DataSource", "config": {"format": "csv", "path": f"{folder}/customer", "mode": "infer"}}, node("rich", "Filter", "src", rules=[rule("c_acctbal", "gt", 5000)])]
+    ends = [{"node_id": "rich" if k else "src", "target_table": f"t{k}_{mark}"} | ({"target": {"type": "file", "format": t[0], "path": f"{folder}/{t[1]}"}} if t else {}) for k, t in enumerate(targets)]
+    told = run(spark, load({"pipeline_id": "five", "version": 1, "nodes": nodes, "sinks": ends}))
+    return spark.createDataFrame([(k, r.format or "table", r.rows, spark.table(r.target_table).count()) for k, r in enumerate(told)], "sink int, format string, told long, found long")
+
+
+def _table_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"copy_{uuid.uuid4().hex[:8]}"
+    nodes = [source("orders", sf_dir), node("f", "Filter", "orders", rules=[rule("o_totalprice", "gt", 1000)]), node("c", "CastColumns", "f", casts=[{"column": "o_totalprice", "sql_type": "BIGINT"}])]
+    run(spark, load({"pipeline_id": "copy", "version": 1, "nodes": nodes, "sinks": [{"node_id": "c", "target_table": name}]}))
+    return spark.table(name)
+
+
+def _join_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (Relation.of(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("customer", "nation"))
+    chosen = [{"side": s, "column": c, "as": a} for s, c, a in (("right", "n_name", "country"), ("left", "C_NAME", "person"), ("left", "c_custkey", "id"))]
+    return OPERATORS["Join"]([left, right], {"mode": "inner", "keys": [{"left": "c_nationkey", "right": "n_nationkey"}], "select": chosen}).df
+
+
+def _schema_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [{"op": "add_column", "name": "k", "sql_type": "INTEGER", "value": 7}, {"op": "drop_column", "name": "n_regionkey"}, {"op": "rename_column", "name": "n_name", "to": "country"}, {"op": "change_type", "name": "n_nationkey", "sql_type": "VARCHAR"}]
+    return change_schema(Relation.of(spark.read.parquet(f"{sf_dir}/nation.parquet")), steps).df
+
+
+def _literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.sources.files import literal_rows
+
+    few = literal_rows(spark, [{"code": k, "label": v} for k, v in (("F", "done"), ("O", "open"), ("X", None))])
+    orders = Relation.of(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return OPERATORS["Join"]([orders, few], {"mode": "left", "keys": [{"left": "o_orderstatus", "right": "code"}]}).df
+
+
+#: name: (query, SQL), of what is no single output of a pipeline over the tables: files, sinks, and what only library calls offer.
+CALLS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "csv_infer": (_by_csv("nation", single=True), "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"),
+    "csv_types": (_by_csv("orders"), "SELECT * FROM orders"),
+    "csv_declared": (_by_csv("customer", mode="declared", columns=_declared("c_name VARCHAR", "c_custkey INTEGER", "c_acctbal BIGINT")), "SELECT c_name, c_custkey::INTEGER AS c_custkey, c_acctbal::BIGINT AS c_acctbal FROM customer"),
+    "csv_checked": (_by_csv("nation", single=True, mode="declared_with_check", columns=_declared("N_NATIONKEY BIGINT", "n_name VARCHAR", "n_regionkey BIGINT")), "SELECT n_nationkey::BIGINT AS N_NATIONKEY, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"),
+    "csv_quoted": (_by_csv("documents", ["doc_id", "text", "lang"]), "SELECT doc_id, text, lang FROM documents"),
+    "sink_csv_round_trip": (_by_csv("part"), "SELECT * FROM part"),
+    "sink_parquet_round_trip": (_by_parquet, "SELECT event_type, event_id, value FROM events"),
+    "sink_table_copy": (_table_copy, "SELECT * REPLACE (o_totalprice::BIGINT AS o_totalprice) FROM orders WHERE o_totalprice > 1000"),
+    "run_five_sinks": (_run_sinks, "SELECT sink::INTEGER AS sink, format, CASE sink WHEN 0 THEN n ELSE rich END AS told, CASE sink WHEN 0 THEN n ELSE rich END AS found FROM (VALUES (0, 'table'), (1, 'csv'), (2, 'csv'), (3, 'parquet'), (4, 'parquet')) v(sink, format), (SELECT count(*) AS n, count(*) FILTER (c_acctbal > 5000) AS rich FROM customer)"),
+    "join_select": (_join_select, "SELECT n_name AS country, c_name AS person, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "schema_ops": (_schema_ops, "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name AS country, 7 AS k FROM nation"),
+    "literal_rows": (_literal_rows, "SELECT o.*, code, label FROM orders o LEFT JOIN (VALUES ('F', 'done'), ('O', 'open'), ('X', NULL)) v(code, label) ON o_orderstatus = code"),
+}
+QUERIES = {name: _query(name) for name in PLANS} | {name: q for name, (q, _) in CALLS.items()}
+ORACLE_SQL = {name: p[3] for name, p in PLANS.items()} | {name: sql for name, (_, sql) in CALLS.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -34,20 +35,35 @@ def _texts(df: DataFrame) -> DataFrame:
     return df.select(*(to_text(quoted(f.name), f.dataType).alias(f.name) if isinstance(f.dataType, kinds) else quoted(f.name) for f in df.schema.fields))
 
 
+def to_copy(df: DataFrame, name: str) -> tuple[str, int]:
+    """A Parquet copy under the warehouse's folder, in which every value has been computed. Returns its path and the number of rows."""
+    folder = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = f"{folder}/{re.sub(r'[^a-zA-Z0-9_]+', '_', name)}-{uuid.uuid4().hex}"
+    return path, _counted(df, lambda d: d.write.parquet(path))
+
+
+def copied(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def to_file(df: DataFrame, path: str, kind: str, single: bool | None = None) -> int:
     """Writes CSV with a header or Parquet, over what is there. Returns the number of rows.
 
     A path that ends in the format's extension becomes one file, written by one
-    task; any other (or single=False) a folder of files written in parallel, which
-    is what large results need.
+    task after all others have computed their rows in parallel, in their order; any
+    other (or single=False) a folder of files written in parallel, which is what
+    large results need.
     """
     path = spark_path(path)
     single = path.lower().endswith(f".{kind}") if single is None else single
     spark, out = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp" if single else path
+    place = f"__at_{uuid.uuid4().hex}"
 
     def write(d: DataFrame) -> None:
         d = _texts(d) if kind == "csv" else d
-        w = (d.coalesce(1) if single else d).write.mode("overwrite")
+        if single:
+            d = d.withColumn(place, F.monotonically_increasing_id()).repartition(1).sortWithinPartitions(place).drop(place)
+        w = d.write.mode("overwrite")
         w.option("header", True).option("emptyValue", '""').csv(out) if kind == "csv" else w.parquet(out)
 
     n = _counted(df, write)
@@ -56,13 +72,28 @@ def to_file(df: DataFrame, path: str, kind: str, single: bool | None = None) ->
     return n
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _move_part(spark: SparkSession, folder: str, path: str) -> None:
-    """Moves the one part file of a folder to a path, and deletes the folder."""
+    """Moves the one part file of a folder to a path, and deletes the folder. A file there is kept aside until the new one stands in its place; a folder that holds anything is refused."""
     jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    source, target, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (folder, path, f"{folder}.old"))
     fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
-    fs.delete(target, True)
-    if not fs.rename(parts[0], target):
-        raise OSError(f"can't move to {path}")
-    fs.delete(source, True)
+    try:
+        parts = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+        old = fs.exists(target)
+        if old and fs.getFileStatus(target).isDirectory() and len(fs.listStatus(target)):
+            raise OSError(f"{path} is a folder that isn't empty")
+        if old and not fs.rename(target, aside):
+            raise OSError(f"can't replace {path}")
+        if not fs.rename(parts[0], target):
+            if old:
+                fs.rename(aside, target)
+            raise OSError(f"can't move to {path}")
+        if old:
+            fs.delete(aside, True)
+    finally:
+        fs.delete(source, True)
