@@ -1,28 +1,28 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 Documents are tokenised and cut once, in parallel, and staged. Pieces are then
-packed in bulk-synchronous rounds, which one loop on the driver runs over the
-distributed counts of lengths. Pieces and gaps are held range-sorted by
-length, as runs of equal lengths; a piece is known by its length and its rank
-among the pieces of that length, which distributed counts give. In each round
-
-* every run of pieces sweeps for its successor, the smallest gap that holds it;
-* where several runs claim one gap class, the longer piece and then the lower
-  rank wins, and the rest wait for the next round;
-* the gaps that were filled shrink, all at once, after the round.
-
-When no gap holds a piece of the band at work (bands halve in length), new
-sequences open for the longest pieces left. Runs number at most the capacity and
-hold any number of pieces, so the rounds cost the same at every input size, and
-no key is hot: a length that a third of all pieces share is one run. The rounds
-give placements (length, ranks, sequences, offset), which one pass over the
-staged pieces applies.
+packed in bulk-synchronous rounds over tables of runs: pieces of one length, known
+by their ranks, and gaps of one room. In each round
+
+* runs and gaps are range-sorted by size, and every range is swept for the runs'
+  successors, the smallest gaps that hold them; what finds none carries over
+  the boundaries of ranges;
+* where several runs claim one gap, the longer piece and then the lower rank wins,
+  and the rest take the next larger gap;
+* the gaps that were filled shrink, all at once, after the round, and new
+  sequences open for the longest pieces that no room is left for.
+
+Runs number at most the capacity and hold any number of pieces, so the rounds cost
+the same at every input size, and no key is hot: a length that a third of all
+pieces share is one run. The rounds give placements (length, ranks, sequences,
+offset), which one pass over the staged pieces applies.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,74 +66,170 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(common.frugal(run), PIECES)
 
 
-class Gaps:
-    """Open sequences by the room left: for each size, ranges (first sequence, how many)."""
+#: Rows of a round: open sequences of a room, pieces of a length, gaps made in this round, and placements.
+GAP, PIECE, FRESH, PLACED = 0, 1, 2, 3
+#: size: room or length; first: a sequence, or a rank among pieces of the length; n: how many follow it. Of placements: `per` pieces in each of n sequences from `sequence` on, from `offset` on.
+STATE = "kind int, size long, first long, n long, per long, sequence long, offset long"
+Row = tuple[int, int, int, int, int, int, int]
+RANGES = 16
 
-    def __init__(self):
-        self.by: dict[int, list[tuple[int, int]]] = {}
 
-    def add(self, size: int, first: int, n: int) -> None:
-        if size and n:
-            self.by.setdefault(size, []).append((first, n))
+def sweep(rows: Iterable[Row], capacity: int) -> Iterator[Row]:
+    """Best fit of runs of pieces into gaps, both by size from the largest on, gaps before pieces of their size.
 
-    def take(self, size: int, most: int) -> Iterator[tuple[int, int]]:
-        """Up to `most` gaps of a size, as ranges."""
-        ranges = self.by[size]
-        while most and ranges:
-            first, n = ranges.pop()
-            k = min(n, most)
+    A run's successor is the smallest gap met so far that has not been taken: where
+    several runs have one successor, the longer pieces and then the lower ranks win
+    it, and the rest go on to the next larger. A gap takes as many pieces of a run as it holds, which is what best
+    fit does with equal pieces. Yields placements, what is left of the gaps taken
+    (FRESH, out of reach until the next round), and all that found no partner.
+    """
+    open_: list[list[int]] = []
+    for kind, size, first, n, *_ in rows:
+        if kind == GAP:
+            open_.append([size, first, n])
+            continue
+        while n and open_:
+            gap = open_[-1]
+            room, sequence, many = gap
+            per = min(n, room // size)
+            took = min(n // per, many)
+            yield PLACED, size, first, took, per, sequence, capacity - room
+            yield FRESH, room - per * size, sequence, took, 0, 0, 0
+            first, n = first + took * per, n - took * per
+            gap[1], gap[2] = sequence + took, many - took
+            if not gap[2]:
+                open_.pop()
+        if n:
+            yield PIECE, size, first, n, 0, 0, 0
+    yield from ((GAP, size, first, n, 0, 0, 0) for size, first, n in open_)
+
+
+def opened(rows: list[Row], capacity: int, low: int, sequences: int) -> Iterator[Row]:
+    """The end of a round, of rows in the sweep's order: new sequences for the longest pieces that no room is left for, then gaps as the next round meets them.
+
+    Half the capacity holds one piece at most, so longer ones all open. Others open
+    as many as their tokens need beyond the room left; where a round placed less
+    than a quarter of what it left, sequences open for all of that.
+    """
+    left = [r for r in rows if r[0] == PIECE and r[1] > low]
+    need = sum(r[1] * r[3] for r in left)
+    put = sum(r[1] * r[3] * r[4] for r in rows if r[0] == PLACED)
+    room = 0 if 4 * put <= need else sum(r[1] * r[3] for r in rows if r[0] in (GAP, FRESH) and r[1] > low)
+    seeds = -(-(need - room) // capacity)
+    for kind, size, first, n, *rest in rows:
+        if kind in (GAP, FRESH):
+            if size:
+                yield GAP, size, first, n, 0, 0, 0
+        elif kind == PLACED:
+            yield PLACED, size, first, n, *rest
+        else:
+            k = 0 if size <= low else n if 2 * size > capacity else min(n, max(0, seeds))
+            seeds -= k
+            if k:
+                yield PLACED, size, first, k, 1, sequences, 0
+                if size < capacity:
+                    yield GAP, capacity - size, sequences, k, 0, 0, 0
+                sequences += k
             if k < n:
-                ranges.append((first + k, n - k))
-            most -= k
-            yield first, k
-        if not ranges:
-            del self.by[size]
+                yield PIECE, size, first + k, n - k, 0, 0, 0
+
+
+def _order(row: Row) -> tuple:
+    return -row[1], row[0], row[2]
+
+
+def bands(capacity: int, most: int, top: int) -> tuple[int, int]:
+    """(top, low) of the band at work: pieces of over a third of the top and up to it, as long as there are any; `most`: the longest piece left."""
+    while most <= top // 3:
+        top //= 3
+    return top, top // 3
 
 
 def place(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Rounds of best fit over {length: how many}. Rows (length, first rank, how many, first sequence, offset), and the number of sequences."""
-    left = {n: k for n, k in counts.items() if k}
-    rank = dict.fromkeys(left, 0)
-    gaps, placed, opened = Gaps(), [], 0
-
-    def put(n: int, first: int, k: int, size: int, fresh: list) -> None:
-        placed.append((n, rank[n], k, first, capacity - size))
-        rank[n] += k
-        left[n] -= k
-        fresh.append((size - n, first, k))
-
-    top = capacity
-    while top:
-        low = top // 2
-        while True:
-            band = sorted((n for n in left if low < n <= top and left[n]), reverse=True)
-            if not band:
-                break
-            sizes = np.array(sorted(gaps.by), dtype=np.int64)
-            claims: dict[int, list[int]] = {}
-            for n, k in zip(band, np.searchsorted(sizes, band), strict=True):
-                if k < len(sizes):
-                    claims.setdefault(int(sizes[k]), []).append(n)
-            fresh: list[tuple[int, int, int]] = []
-            for size, runs in claims.items():
-                for n in runs:  # the longest first
-                    if size not in gaps.by:
-                        break
-                    for first, k in gaps.take(size, left[n]):
-                        put(n, first, k, size, fresh)
-            if not claims:
-                need = sum(n * left[n] for n in band)
-                seeds = max(1, -(-need // capacity))
-                for n in band:
-                    k = left[n] if 2 * n > capacity else min(left[n], seeds)
-                    seeds -= k
-                    if k > 0:
-                        put(n, opened, k, capacity, fresh)
-                        opened += k
-            for size, first, k in fresh:
-                gaps.add(size, first, k)
-        top = low
-    return np.array(placed, dtype=np.int64).reshape(-1, 5), opened
+    """The rounds of placements() on one machine and without ranges, over {length: how many}. Rows (length, first rank, how many, first sequence, offset), and the number of sequences."""
+    state = [(PIECE, n, 0, k, 0, 0, 0) for n, k in counts.items() if k]
+    placed: list[list[int]] = []
+    total, top = 0, capacity
+    while most := max((r[1] for r in state if r[0] == PIECE), default=0):
+        top, low = bands(capacity, most, top)
+        reach = sorted((r for r in state if r[1] > low), key=_order)
+        met = [*sweep(reach, capacity), *(r for r in state if r[1] <= low)]
+        state = []
+        for r in opened(sorted(met, key=_order), capacity, low, total):
+            if r[0] != PLACED:
+                state.append(r)
+                continue
+            _, size, first, n, per, sequence, offset = r
+            placed += [[size, first + j * n, n, sequence, offset + j * size] for j in range(per)]
+            total = max(total, sequence + n)
+    return np.array(sorted(placed), dtype=np.int64).reshape(-1, 5), total
+
+
+def _batch(rows: Iterable[Row]) -> pa.RecordBatch:
+    kinds = [("kind", pa.int32()), *((c, pa.int64()) for c in ("size", "first", "n", "per", "sequence", "offset"))]
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+
+
+def _rows(it: Iterator[pa.RecordBatch], columns: int = 7) -> Iterator[tuple]:
+    for b in it:
+        yield from zip(*(b.column(k).to_pylist() for k in range(columns)), strict=True)
+
+
+def round_(state: DataFrame, capacity: int, low: int, sequences: int) -> DataFrame:
+    """One bulk-synchronous round over runs and gaps of more than `low`.
+
+    Runs and gaps are dealt to ranges of size and sorted; each range is swept by
+    itself. What finds no partner there carries over the boundaries: pieces of a
+    range fit every gap of the ranges above, and a second sweep over those leftovers
+    alone gives what one sweep over all ranges would. Then gaps are updated.
+    """
+
+    def local(it):
+        out, part, held = [], None, []
+        for *row, at in _rows(it, 8):
+            if at != part:
+                out += sweep(held, capacity)
+                part, held = at, []
+            if row[1] > low:
+                held.append(tuple(row))
+            else:
+                out.append(tuple(row))
+        yield _batch([*out, *sweep(held, capacity)])
+
+    def carried(it):
+        rows = sorted(_rows(it), key=_order)
+        met = [r for r in rows if r[0] > PIECE or r[1] <= low]
+        met += sweep((r for r in rows if r[0] <= PIECE and r[1] > low), capacity)
+        yield _batch(opened(sorted(met, key=_order), capacity, low, sequences))
+
+    at = F.floor((F.col("size") - 1) * RANGES / capacity).cast("int")
+    dealt = state.withColumn("at", at).repartition("at").sortWithinPartitions("at", F.desc("size"), "kind", "first")
+    return dealt.mapInArrow(local, STATE).coalesce(1).mapInArrow(carried, STATE)
+
+
+def placements(runs: DataFrame, capacity: int) -> DataFrame:
+    """Rounds of best fit over runs (length, n): the staged placements, STATE's rows of the kind PLACED.
+
+    Rows of a round are runs, at most as many as there are lengths, and gaps of
+    one history, some thousands whatever the number of documents; the driver sees
+    two numbers a round. Bands of lengths, each from its longest piece down to a
+    third, bound the rounds by some tens.
+    """
+    spark = runs.sparkSession
+    zero = [F.lit(0).cast("long").alias(c) for c in ("per", "sequence", "offset")]
+    state = runs.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", *zero)
+    rounds: list[DataFrame] = []
+    most = runs.agg(F.max("length")).first()[0] or 0
+    total, top = 0, capacity
+    while most:
+        top, low = bands(capacity, most, top)
+        done = common.staged(round_(state, capacity, low, total), "round")
+        rounds.append(done.filter(F.col("kind") == PLACED))
+        state = done.filter(F.col("kind") != PLACED)
+        seen = done.agg(F.max(F.when(F.col("kind") == PIECE, F.col("size"))), F.max(F.when(F.col("kind") == PLACED, F.col("sequence") + F.col("n")))).first()
+        most, total = seen[0] or 0, max(total, seen[1] or 0)
+    return reduce(DataFrame.unionAll, rounds) if rounds else spark.createDataFrame([], STATE)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, payload: dict[str, Column] | None = None) -> DataFrame:
@@ -149,9 +245,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     payload = {"ids": F.col("ids")} if payload is None else payload
     stage = common.staged(pieces(docs, tokenizer, end_id, capacity), "pieces")
     runs = common.staged(stage.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "runs")
-    # At most `capacity` rows come to the driver.
-    counts = {r.length: r.n for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table, _ = place(counts, capacity)
+    lengths = common.staged(runs.groupBy("length").agg(F.sum("n").alias("n")), "lengths")
+    placed = placements(lengths, capacity).select("size", "first", "n", "per", "sequence", "offset")
+    # Some thousands of rows, whatever the number of documents.
+    table = np.array([tuple(r) for r in placed.collect()], np.int64).reshape(-1, 6)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
     held = spark.sparkContext.broadcast((table[:, 0] << 44 | table[:, 1], table))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,7 +265,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
             n, rank = batch.column(3).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
             row = table[np.searchsorted(keys, n << 44 | rank, side="right") - 1]
             names = [*batch.schema.names[:-1], "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=names)
+            nth, each = np.divmod(rank - row[:, 1], row[:, 2])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 4] + each), pa.array(row[:, 5] + nth * n)], names=names)
 
     return ranked.select(*order).mapInArrow(common.frugal(run), schema)
 

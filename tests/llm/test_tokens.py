@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 from millrace.llm import common, packing, wavelet
 from millrace.llm.tokens import encoder
 
+from .conftest import prose
+
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -91,6 +93,60 @@ def test_placements(lengths):
     assert opened <= len(bins) * 1.1 + 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_distributed_rounds_are_those_of_one_machine(spark, seed):
+    """Ranges with carried-over leftovers give what one sweep over everything does."""
+    r = np.random.default_rng(seed)
+    lengths = [r.integers(1, 65, 900), np.minimum(64, np.exp(r.normal(2, 1, 900)).astype(int) + 1), np.repeat([20, 21, 43, 64], 200)][seed - 1]
+    counts = Counter(lengths.tolist())
+    want, opened = packing.place(counts, 64)
+    runs = spark.createDataFrame([(n, k) for n, k in counts.items()], "length long, n long").repartition(5)
+    got = [(x["size"], x["first"] + j * x.n, x.n, x.sequence, x.offset + j * x["size"]) for x in packing.placements(runs, 64).collect() for j in range(x.per)]
+    assert sorted(got) == [tuple(x) for x in want.tolist()] and max(x[3] + x[2] for x in got) == opened
+    assert packing.placements(runs.limit(0), 64).collect() == []
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = min((k for k, room in enumerate(rooms) if room >= n), key=lambda k: rooms[k], default=None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    return len(rooms)
+
+
+def test_as_few_sequences_as_best_fit():
+    r = np.random.default_rng(7)
+    for lengths in (r.integers(1, 2049, 1500), np.minimum(2048, np.exp(r.normal(5.5, 1.2, 3000)).astype(int) + 1), np.full(500, 300), r.integers(1, 40, 2000)):
+        counts = Counter(lengths.tolist())
+        assert packing.place(counts, 2048)[1] <= best_fit_decreasing(lengths.tolist(), 2048) * 1.01 + 1
+
+
+def test_registered_packing(spark, tmp_path, edges):
+    """The query on a small table with a very long text, against the library and a plain check of every sequence."""
+    from millrace.llm.queries import QUERIES
+
+    rows = [*edges, (900, prose(1, 20_000)), *((1000 + k, prose(k, k * 7)) for k in range(60))]
+    spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, rank string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).collect()
+    t = Tokenizer.from_file(BYTE)
+    want = Counter()
+    for d, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        edges_ = [0, *range(first, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(edges_, edges_[1:], strict=False)):
+            want[d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter(tuple(x)[:5] for x in got) == want
+    fill = Counter()
+    for x in sorted(got, key=lambda x: (x.sequence_id, x.offset)):
+        assert fill[x.sequence_id] == x.offset
+        fill[x.sequence_id] += x.length
+    assert max(fill.values()) <= 2048 and len(fill) <= best_fit_decreasing([x.length for x in got], 2048) * 1.01 + 1
+
+
 def test_cut():
     ids = np.arange(10, dtype="<u4").tobytes()
     assert [(s, len(p) // 4) for s, p in packing.cut(ids, 4)] == [(0, 2), (2, 4), (6, 4)]
