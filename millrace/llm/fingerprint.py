@@ -121,7 +121,7 @@ def neighbours(docs: DataFrame, visit, schema: str, parts: int | None = None) ->
 
     dealt = rows.withColumn("to", F.explode(targets("doc_id")))
     dealt = dealt.select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part"), (F.col("to") < 0).alias("ahead"), "doc_id", "text")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", "text")  # a range to each task
 
     def run(it):
         see = visit()
