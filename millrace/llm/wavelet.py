@@ -2,15 +2,24 @@
 
 A shard keeps the ids of consecutive documents as bit-planes, highest bit first;
 each plane is stably split by its bit before the next. With counts of ones for
-every 512 bits it answers, from the one file: the token at a place, how often a
+every 2048 bits it answers, from the one file: the token at a place, how often a
 token occurs before a place, and where its k-th occurrence is.
+
+As lower planes stand in the order of the bits above, their bits are alike over
+long stretches. Planes are compressed in chunks with a directory at the file's end,
+so a shard takes less than its ids in as few whole bytes as they need, and a lookup
+reads the directory, one row of counts and one chunk a plane. Each section has a
+CRC-32 of its own.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC, BLOCK = b"MLWM0001", 512
+MAGIC, BLOCK, CHUNK = b"MLWM0002", 2048, 1 << 13
+#: Place, length and CRC-32 of the directory, at the end before MAGIC.
+END = struct.Struct("<QII")
 SHARDS = "part int, shard int, path string, n_docs long, n_tokens long"
 ROWS, SUMS = "doc_id long, start long, n_tokens long, ids binary", "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -32,23 +43,26 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, values: np.ndarray) -> WaveletMatrix:
+        return cls(len(values), list(cls.planes_of(values)))
+
+    @staticmethod
+    def planes_of(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """The planes one at a time."""
         n = len(values)
         width = max(1, int(values.max()).bit_length()) if n else 1
         now = values.astype(np.uint16 if width <= 16 else np.uint32)
-        planes = []
         for shift in range(width - 1, -1, -1):
             ones = (now & now.dtype.type(1 << shift)) != 0
             packed = np.packbits(ones, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
-            sums = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
-            ranks = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)])
+            sums = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
+            ranks = np.concatenate([np.zeros(1, np.uint32), np.cumsum(sums, dtype=np.uint32)])
             zeros = n - int(ranks[-1])
             split = np.empty_like(now)
             np.compress(~ones, now, out=split[:zeros])
             np.compress(ones, now, out=split[zeros:])
             now = split
-            planes.append((packed, ranks, zeros))
-        return cls(n, planes)
+            yield packed, ranks, zeros
 
     def _bit(self, plane, i: int) -> int:
         return int(plane[0][i >> 3]) >> (i & 7) & 1
@@ -119,40 +133,123 @@ class WaveletMatrix:
         return now.astype(np.uint32)
 
 
+def store(out, docs: list[int | None], sizes: list[int], ids: np.ndarray) -> None:
+    """Writes a shard file to a stream, plane by plane: MAGIC, documents and sizes, counts and chunks of each plane, the directory, END, MAGIC."""
+    at = 0
+
+    def put(data: bytes) -> list[int]:
+        nonlocal at
+        out.write(data)
+        at += len(data)
+        return [at - len(data), len(data), zlib.crc32(data)]
+
+    put(MAGIC)
+    known = np.packbits(np.array([d is not None for d in docs], bool), bitorder="little")
+    lists = put(zlib.compress(np.array([d or 0 for d in docs], "<i8").tobytes() + known.tobytes() + np.array(sizes, "<u8").tobytes(), 1))
+    planes = []
+    for packed, ranks, zeros in WaveletMatrix.planes_of(ids):
+        planes.append({"zeros": zeros, "ranks": put(ranks.astype("<u4").tobytes()), "bytes": len(packed), "chunks": [put(zlib.compress(packed[k : k + CHUNK], 1)) for k in range(0, len(packed), CHUNK)]})
+    head = put(zlib.compress(json.dumps({"tokens": len(ids), "docs": len(docs), "lists": lists, "planes": planes}).encode(), 1))
+    put(END.pack(*head) + MAGIC)
+
+
 def to_bytes(docs: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    """A shard file: magic, length and text of a JSON header, documents, sizes, planes, CRC-32 of all before."""
-    matrix = WaveletMatrix.of(ids)
-    known = np.array([d is not None for d in docs], bool)
-    head = {"tokens": matrix.n, "docs": len(docs), "zeros": [p[2] for p in matrix.planes], "bytes": len(matrix.planes[0][0])}
-    text = json.dumps(head).encode()
-    body = [MAGIC, struct.pack("<I", len(text)), text, np.array([d or 0 for d in docs], "<i8").tobytes(), np.packbits(known, bitorder="little").tobytes(), np.array(sizes, "<u8").tobytes()]
-    for packed, ranks, _ in matrix.planes:
-        body += [packed.tobytes(), ranks.astype("<u8").tobytes()]
-    whole = b"".join(body)
-    return whole + struct.pack("<I", zlib.crc32(whole))
+    out = io.BytesIO()
+    store(out, docs, sizes, ids)
+    return out.getvalue()
+
+
+class _Plane:
+    """The bits of a plane; chunks are read as they are asked for, and the last few kept."""
+
+    def __init__(self, section: Callable[[list[int]], bytes], chunks: list[list[int]]):
+        self.chunk = lru_cache(8)(lambda k: np.frombuffer(_unpacked(section(chunks[k])), np.uint8))
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self.chunk(at // CHUNK)[at % CHUNK]
+        first, last = at.start // CHUNK, max(at.start, at.stop - 1) // CHUNK
+        whole = np.concatenate([self.chunk(k) for k in range(first, last + 1)])
+        return whole[at.start - first * CHUNK : at.stop - first * CHUNK]
+
+
+def _unpacked(data: bytes) -> bytes:
+    try:
+        return zlib.decompress(data)
+    except zlib.error as e:
+        raise ValueError("not a whole shard file") from e
 
 
 class Shard:
-    """A shard file as read: doc_ids, starts (one more than documents) and the matrix."""
+    """A shard file: doc_ids, starts (one more than documents) and the matrix.
+
+    From bytes, everything is read and checked at once. opened() reads from a
+    file's places only what lookups need.
+    """
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC or struct.unpack("<I", data[-4:])[0] != zlib.crc32(memoryview(data)[:-4]):
+    def __init__(self, data: bytes | None = None, read: Callable[[int, int], bytes] | None = None, size: int = 0):
+        self._read = read or (lambda at, n: data[at : at + n])
+        size = len(data) if data is not None else size
+        tail = self._read(max(0, size - END.size - 8), END.size + 8)
+        if len(tail) < END.size + 8 or tail[END.size :] != MAGIC:
             raise ValueError("not a whole shard file")
-        size = struct.unpack_from("<I", data, 8)[0]
-        head = json.loads(data[12 : 12 + size])
-        at, n = 12 + size, head["docs"]
+        self.head = json.loads(_unpacked(self._section(END.unpack_from(tail))))
+        if data is not None and data[:8] != MAGIC:
+            raise ValueError("not a whole shard file")
+        planes = []
+        for p in self.head["planes"]:
+            if data is None:
+                planes.append((_Plane(self._section, p["chunks"]), _Ranks(self._section, p["ranks"]), p["zeros"]))
+            else:
+                bits = np.frombuffer(b"".join(_unpacked(self._section(c)) for c in p["chunks"]), np.uint8)
+                planes.append((bits, np.frombuffer(self._section(p["ranks"]), "<u4"), p["zeros"]))
+        self.matrix = WaveletMatrix(self.head["tokens"], planes)
+        if data is not None:
+            self._lists  # noqa: B018  checked with the rest
+
+    @classmethod
+    def opened(cls, path: str) -> Shard:
+        fs, name = common.open_fs(path)
+        f = fs.open_input_file(name)
+        return cls(read=lambda at, n: f.read_at(n, at), size=f.size())
+
+    def _section(self, where) -> bytes:
+        at, n, crc = where
+        data = self._read(at, n)
+        if len(data) != n or zlib.crc32(data) != crc:
+            raise ValueError("not a whole shard file")
+        return data
+
+    @cached_property
+    def _lists(self) -> tuple[list[int | None], np.ndarray]:
+        data, n = _unpacked(self._section(self.head["lists"])), self.head["docs"]
+        known = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), 8 * n), count=n, bitorder="little")
+        sizes = np.frombuffer(data, "<u8", n, 8 * n + -(-n // 8)).astype(np.int64)
+        return [int(d) if k else None for d, k in zip(np.frombuffer(data, "<i8", n), known, strict=True)], np.concatenate([[0], np.cumsum(sizes)])
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return self._lists[0]
 
-        def take(count: int, kind: str) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, count, at)
-            at += out.nbytes
-            return out
+    @property
+    def starts(self) -> np.ndarray:
+        return self._lists[1]
 
-        ids, known = take(n, "<i8"), np.unpackbits(take(-(-n // 8), "u1"), count=n, bitorder="little")
-        self.doc_ids = [int(d) if k else None for d, k in zip(ids, known, strict=True)]
-        self.starts = np.concatenate([[0], np.cumsum(take(n, "<u8").astype(np.int64))])
-        blocks = head["bytes"] // (BLOCK // 8)
-        self.matrix = WaveletMatrix(head["tokens"], [(take(head["bytes"], "u1"), take(blocks + 1, "<u8"), z) for z in head["zeros"]])
+
+class _Ranks:
+    """Counts of ones before each block, read when first asked for."""
+
+    def __init__(self, section: Callable[[list[int]], bytes], where: list[int]):
+        self.load = cache(lambda: np.frombuffer(section(where), "<u4"))
+
+    def __getitem__(self, at):
+        return self.load()[at]
+
+    def __len__(self) -> int:
+        return len(self.load())
+
+    def astype(self, kind):
+        return self.load().astype(kind)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_tokens: int = 4_000_000) -> DataFrame:
@@ -173,10 +270,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
         ids, sizes, parts, total = [], [], [], 0
 
         def close():
-            data = to_bytes(ids, sizes, np.frombuffer(b"".join(parts), "<u4"))
             name = common.attempt_name(f"{part:08d}-{shard:06d}", ".wm")
             with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(data)
+                store(out, ids, sizes, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [len(ids)], "n_tokens": [total]})
 
         for batch in it:
@@ -215,8 +311,17 @@ def read_shards(shards: DataFrame, sums: bool = False) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield from common.batches(rows(path, base), kinds, size=None if sums else lambda r: len(r[3]))
 
-    # One row per shard: the list of files in order, far smaller than their tokens.
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    listed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # Running sums of shards within their task, of tasks within some thousands, and of those: no task has a row per shard.
+    before = [Window.unboundedPreceding, -1]
+    some = F.floor(F.col("part") / 4096)
+
+    def running(table: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+        return table.withColumn(name, F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*before)), F.lit(0)))
+
+    of_parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("some", some)
+    of_some = running(of_parts.groupBy("some").agg(F.sum("n").alias("n")), [], "some", "base_some").drop("n")
+    of_parts = running(of_parts, ["some"], "part", "base_part").drop("n").join(of_some, "some")
+    own = running(shards.withColumnRenamed("n_tokens", "n"), ["part"], "shard", "base_own")
+    listed = own.join(of_parts, "part").select("path", (F.col("base_own") + F.col("base_part") + F.col("base_some")).alias("base"))
     spread = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return listed.repartition(spread).mapInArrow(common.frugal(run), SUMS if sums else ROWS)

@@ -194,6 +194,41 @@ def test_shard_round_trip():
         wavelet.Shard(data[:100] + b"x" + data[101:])
 
 
+def test_lookups_read_little_of_a_compressed_file(tmp_path):
+    r = np.random.default_rng(2)
+    ids = (49407 * r.random(400_000) ** 4).astype(np.uint32)  # few ids are most of them, as in texts
+    data = wavelet.to_bytes(list(range(1000)), [400] * 1000, ids)
+    assert len(data) < 0.95 * 2 * len(ids) and (wavelet.Shard(data).matrix.values() == ids).all()
+    (tmp_path / "x.wm").write_bytes(data)
+    shard = wavelet.Shard.opened(str(tmp_path / "x.wm"))
+    real, read = shard._read, []
+    shard._read = lambda at, n: read.append(n) or real(at, n)
+    assert shard.matrix.access(123_456) == ids[123_456] and sum(read) < len(data) / 2
+    v = int(ids[7])
+    at = np.flatnonzero(ids == v)
+    assert shard.matrix.count(v) == len(at) and shard.matrix.rank(v, 200_000) == (at < 200_000).sum() and shard.matrix.select(v, len(at) // 2) == at[len(at) // 2]
+    assert shard.starts[-1] == len(ids) and shard.doc_ids[:3] == [0, 1, 2]
+    for k in (3, 60, len(data) // 2, len(data) - 30, len(data) - 1):
+        with pytest.raises(ValueError):
+            wavelet.Shard(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :])
+    with pytest.raises(ValueError):
+        wavelet.Shard(data[:50])
+
+
+def test_registered_token_ids(spark, tmp_path, edges):
+    """The query on a small table with a very long text, against the library."""
+    from millrace.llm.queries import QUERIES
+
+    rows = [*(e for e in edges if e[0] != 5), (900, prose(1, 20_000)), *((1000 + k, prose(k, k * 7)) for k in range(60))]
+    spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, part int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    t, at, want = Tokenizer.from_file(WORD), 0, []
+    for d, text in sorted(rows, key=lambda e: (e[0] is not None, e[0] or 0, e[1] or "")):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in QUERIES["op9_token_ids"](spark, str(tmp_path)).orderBy("start").collect()] == want
+
+
 def test_shards_edges(spark, docs, edges):
     shards = wavelet.write_shards(docs(edges), WORD, 1, common.new_folder(spark, "t"), shard_tokens=100)
     assert shards.count() > 2
