@@ -10,7 +10,7 @@ places are running sums within blocks of turns, on top of the sums of blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed marks around a turn.
@@ -19,6 +19,11 @@ SYSTEM = "system"
 BLOCK = 1024
 
 
+def unmarked(text: Column) -> Column:
+    """Text in which nothing reads as a mark: <|im_ becomes < |im_, so no turn can forge another."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, text. One row for each participant (`perspective`) and turn of a conversation.
 
@@ -27,29 +32,34 @@ def rotate(turns: DataFrame) -> DataFrame:
     text in the whole rendering), start, end (of the rendered turn). Speakers are
     roles other than the system's, with surrounding blanks cut off; a null role is
     the speaker `unknown`, a null text is empty, a null turn comes first, and equal
-    turns stand in the order of role and text. A conversation of system turns only
+    turns stand in the order of role and text. Marks that texts and roles spell are
+    broken up, and line ends in roles are blanks. A conversation of system turns only
     has no perspective and gives no rows. A null conv_id is a conversation.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.trim(F.col("role").cast("string")), F.lit("unknown")).alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.trim(unmarked(F.translate(F.col("role").cast("string"), "\r\n", "  "))), F.lit("unknown")).alias("speaker"), unmarked(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    # A null conv_id is told by a flag, so that joins are on plain keys.
+    rows = rows.withColumn("conv", F.coalesce("conv_id", F.lit(0))).withColumn("none", F.col("conv_id").isNull()).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
+    talk, where = ["conv", "none"], ["conv", "none", "block", "place"]
+    turn = Window.partitionBy(*talk, "block").orderBy("turn", "speaker", "text")
+    rows = rows.withColumn("place", F.row_number().over(turn))
+    # Places come of lengths alone; texts are met again once they are known.
     own = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     head = F.concat(F.lit(START), F.col("chat_role"), F.when(F.col("chat_role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(""), F.lit("\n"))
     # Distinct speakers are found with partial sums, so a long dialogue costs its tasks only what they read.
-    people = rows.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    met = rows.alias("t").join(people.alias("p"), F.col("t.conv_id").eqNullSafe(F.col("p.conv_id"))).select("t.*", "p.perspective")
-    met = met.withColumn("chat_role", own).withColumn("head", head).withColumn("rendered", F.concat("head", "text", F.lit(END)))
-    met = met.withColumn("size", F.length("rendered").cast("long")).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
-    keys = ["conv_id", "perspective"]
+    people = rows.select(*talk, "speaker").filter(F.col("speaker") != SYSTEM).select(*talk, F.col("speaker").alias("perspective")).distinct()
+    met = rows.select(*where, "speaker", F.length("text").alias("chars")).join(people, talk).withColumn("chat_role", own).withColumn("head", F.length(head))
+    met = met.select(*where, "perspective", "chat_role", "head", (F.col("head") + F.col("chars") + len(END)).cast("long").alias("size"))
+    keys = [*talk, "perspective"]
     sums = met.groupBy(*keys, "block").agg(F.sum("size").alias("n"))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*keys, "block").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = met.withColumn("upto", F.sum("size").over(inside)).alias("m")
-    same = F.col("m.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("m.perspective") == F.col("b.perspective")) & (F.col("m.block") == F.col("b.block"))
-    out = placed.join(bases.alias("b"), same).select("m.*", "b.base")
+    inside = Window.partitionBy(*keys, "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = met.withColumn("upto", F.sum("size").over(inside)).join(bases, [*keys, "block"])
+    out = placed.join(rows.select(*where, "conv_id", "turn", "speaker", "text"), where)
     start = F.col("base") + F.col("upto") - F.col("size")
-    first = start + F.length("head")
+    first = start + F.col("head")
     return out.select(
-        "conv_id", "perspective", "turn", "speaker", "chat_role", "rendered",
+        "conv_id", "perspective", "turn", "speaker", "chat_role", F.concat(head, "text", F.lit(END)).alias("rendered"),
         F.when(F.col("chat_role") == "assistant", 1).otherwise(0).alias("mask"),
         first.alias("content_start"), (first + F.length("text")).alias("content_end"), start.alias("start"), (start + F.col("size")).alias("end"),
     )
@@ -64,7 +74,7 @@ def dialogues(rotated: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-WITH t AS (SELECT conv_id, turn, trim(role) AS speaker, text FROM conversations),
+WITH t AS (SELECT conv_id, turn, trim(replace(translate(role, chr(13) || chr(10), '  '), '<|im_', '< |im_')) AS speaker, replace(text, '<|im_', '< |im_') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 m AS (SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role FROM t JOIN p USING (conv_id)),
 h AS (SELECT *, '<|im_start|>' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM m),
