@@ -121,7 +121,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = 64 <<
                 payload = html.encode("utf-8", "surrogatepass")
                 sha, at = digest(payload), buffer.tell()
                 buffer.write(record(page, url, payload, refers, refers is not None, sha))
-                line = url_key(url), capture_time(page).strftime("%Y%m%d%H%M%S"), -1 if page is None else page, url, "response" if refers is None else "revisit", sha
+                line = url_key(url), capture_time(page).strftime("%Y%m%d%H%M%S"), (page is not None, page or 0), url, "response" if refers is None else "revisit", sha
                 lines.append((line, (at, buffer.tell() - at)))
                 if buffer.tell() >= file_bytes:
                     yield close()
@@ -244,7 +244,7 @@ def merge(spark: SparkSession, runs: DataFrame, folder: str, fan_in: int = 64, p
         kinds = pa.schema([("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("part", pa.int32()), ("place", pa.int64())])
         for b in it:
             for part, low, high in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                rows = ((*x[:2], None if x[2] < 0 else x[2], *x[3:], part, k) for k, x in enumerate(_merged(held.value, low, high)))
+                rows = ((*x[:2], x[2][1] if x[2][0] else None, *x[3:], part, k) for k, x in enumerate(_merged(held.value, low, high)))
                 yield from common.batches(rows, kinds)
 
     return ranges.repartition(len(cuts) + 1, "part").mapInArrow(common.frugal(run), CAPTURES)
