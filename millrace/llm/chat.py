@@ -66,7 +66,7 @@ def rotate(turns: DataFrame) -> DataFrame:
 
 
 def dialogues(rotated: DataFrame) -> DataFrame:
-    """Whole renderings, for dialogues known to fit a row: conv_id, perspective, rendering, spans of the mask."""
+    """Whole renderings, for dialogues known to fit a row: conv_id, perspective, rendering, spans of the mask. A null conv_id is a conversation; no rows give none."""
     parts = F.sort_array(F.collect_list(F.struct("start", "end", "rendered", "mask", "content_start", "content_end")))
     whole = rotated.groupBy("conv_id", "perspective").agg(parts.alias("parts"))
     kept = F.transform(F.filter("parts", lambda p: p["mask"] == 1), lambda p: F.struct(p["content_start"].alias("start"), p["content_end"].alias("end")))

@@ -186,13 +186,13 @@ class MediaSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """The members of a folder's archives: archive, offset, member, meta, media."""
+    """The members of a folder's archives: archive, offset, member, meta, media. A folder without archives gives no rows."""
     spark.dataSource.register(MediaSource)
     return spark.read.format(FORMAT).options(**options).load(folder)
 
 
 def describe(members: DataFrame) -> DataFrame:
-    """What each member holds, from its bytes: payload, size and features."""
+    """What each member holds, from its bytes: payload, size and features. One row per member: null and repeated doc_ids stay as they are, a null or empty text has one unit of zero bytes."""
     import hashlib
     import zlib
 

@@ -272,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The token ids of each sequence, from pack()'s rows with ids. A group holds one sequence, so at most the capacity."""
+    """The token ids of each sequence, from pack()'s rows with ids. A group holds one sequence, so at most the capacity. No pieces give no rows."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"]))
     return packed.groupBy("sequence_id").agg(joined.alias("ids"))

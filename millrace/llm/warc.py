@@ -254,7 +254,8 @@ def read(captures: DataFrame) -> DataFrame:
     """Records of captures, read from the archives at their offsets: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload (of responses).
 
     Captures are dealt to tasks by archive and read in order of offset. A response
-    whose payload does not have the digest it states fails the task.
+    whose payload does not have the digest it states fails the task. Null page_ids
+    stay null, repeated ones have rows of their own; no captures give no rows.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 

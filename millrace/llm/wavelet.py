@@ -293,7 +293,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shar
 
 
 def read_shards(shards: DataFrame, sums: bool = False) -> DataFrame:
-    """doc_id, start (tokens of all documents before), n_tokens, ids of each document, from the files. sums: instead of the ids their CRC-32, as ids_crc32."""
+    """doc_id, start (tokens of all documents before), n_tokens, ids of each document, from the files. sums: instead of the ids their CRC-32, as ids_crc32.
+
+    One row per row that was written, null and repeated doc_ids among them; no shards
+    give no rows.
+    """
 
     def run(it):
         kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()) if sums else ("ids", pa.binary())])

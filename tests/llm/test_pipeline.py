@@ -98,3 +98,35 @@ def test_parts_agree(spark, tables):
     assert {x.doc_id for x in corpus_pipeline.not_toxic(spark, docs, tables).collect()} == low
     mixed = mixing.mix(docs, mixing.WEIGHTS, epochs=2, domain=F.expr(mixing.DOMAIN))
     assert Counter(x.doc_id for x in mixed.collect()) == Counter(x.doc_id for x in corpus_pipeline.mixed(spark, docs, tables).collect())
+
+
+def test_stages_on_edges(spark, tables):
+    """Every stage on nulls in any column, empty and very long texts, ties, repeated rows and columns with names used inside."""
+    long = prose(77, 20_000)
+    secret = 'token = "' + "ab12" * 10 + '"'
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n", None, "s", 3), (4, long, "en", None, 1), (5, prose(5, 40), "de", "s", 1), (5, prose(5, 40), "de", "s", 1), (None, prose(7, 20), "en", "s", 1), (None, prose(7, 20), "en", "s", 1), (None, None, None, None, None), (-9, f"a {secret} b", "en", "s", 1), (8, prose(5, 40), "en", "t", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score_ double, node long, spans string, mix_epoch int, mix_tokens long, length long, ids binary, part int, __row long"
+    docs = spark.createDataFrame([(*x, 0.1, 1, "s", 2, 3, 4, b"x", 5, 6) for x in rows], schema).repartition(3)
+
+    def texts(df):
+        return Counter((x.doc_id, x.text) for x in df.collect())
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    before = Counter(x[:2] for x in rows)
+    kept = stages[0](spark, docs, tables)
+    assert kept.columns == corpus_pipeline.COLUMNS and not texts(kept) - before and texts(kept)[5, prose(5, 40)] in (0, 2)
+    one = stages[1](spark, docs, tables)
+    assert texts(one) == Counter([(1, None), (2, ""), (3, " \t\n"), (4, long), (5, prose(5, 40)), (None, prose(7, 20)), (None, None), (-9, f"a {secret} b")])
+    clean = stages[2](spark, docs, tables)
+    want = Counter()
+    for (d, t), n in before.items():
+        want[d, (t or "").replace(secret[:-1], "<secret>")] += n
+    assert texts(clean) == want and all(x.n_chars == len(x.text) for x in clean.collect())
+    mixed = stages[3](spark, docs, tables)
+    assert mixed.columns == corpus_pipeline.COLUMNS and set(texts(mixed)) <= set(before) and sum(len((t or "").split()) * n for (_, t), n in texts(mixed).items()) <= sum(len((t or "").split()) * n for (_, t), n in before.items())
+    pieces = stages[4](spark, docs, tables).collect()
+    coder = encoder(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((d, k, start, len(p) // 4) for d, t, *_ in rows for k, (start, p) in enumerate(packing.cut(coder.ids(t or "") + b"\0\0\0\0", 2048)))
+    assert Counter(tuple(p)[:4] for p in pieces) == want
+    for f in stages:
+        assert f(spark, docs.limit(0), tables).collect() == []
