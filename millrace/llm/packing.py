@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +65,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return common.lean(docs).select(F.col("doc_id").cast("long"), common.text_column(docs).alias("text")).mapInArrow(common.frugal(run), PIECES)
 
 
-#: Rows of a round: open sequences of a room, pieces of a length, gaps made in this round, and placements.
-GAP, PIECE, FRESH, PLACED = 0, 1, 2, 3
-#: size: room or length; first: a sequence, or a rank among pieces of the length; n: how many follow it. Of placements: `per` pieces in each of n sequences from `sequence` on, from `offset` on.
+#: Rows of a round: open sequences of a room, pieces of a length, gaps and placements of this round, placements of earlier ones, and the number of sequences.
+GAP, PIECE, FRESH, NEW, PLACED, TOTAL = range(6)
+#: size: room or length; first: a sequence, or a rank among pieces of the length; n: how many follow it. Of placements: `per` pieces in each of n sequences from `sequence` on, from `offset` on. Of gaps and pieces `per` is 1 in the band at work, else 0.
 STATE = "kind int, size long, first long, n long, per long, sequence long, offset long"
 Row = tuple[int, int, int, int, int, int, int]
-RANGES = 16
+RANGES, ROUNDS = 16, 8
 
 
 def sweep(rows: Iterable[Row], capacity: int) -> Iterator[Row]:
@@ -79,9 +78,10 @@ def sweep(rows: Iterable[Row], capacity: int) -> Iterator[Row]:
 
     A run's successor is the smallest gap met so far that has not been taken: where
     several runs have one successor, the longer pieces and then the lower ranks win
-    it, and the rest go on to the next larger. A gap takes as many pieces of a run as it holds, which is what best
-    fit does with equal pieces. Yields placements, what is left of the gaps taken
-    (FRESH, out of reach until the next round), and all that found no partner.
+    it, and the rest go on to the next larger. A gap takes as many pieces of a run
+    as it holds, which is what best fit does with equal pieces. Yields placements,
+    what is left of the gaps taken (FRESH, out of reach until the next round), and
+    all that found no partner.
     """
     open_: list[list[int]] = []
     for kind, size, first, n, *_ in rows:
@@ -93,76 +93,82 @@ def sweep(rows: Iterable[Row], capacity: int) -> Iterator[Row]:
             room, sequence, many = gap
             per = min(n, room // size)
             took = min(n // per, many)
-            yield PLACED, size, first, took, per, sequence, capacity - room
+            yield NEW, size, first, took, per, sequence, capacity - room
             yield FRESH, room - per * size, sequence, took, 0, 0, 0
             first, n = first + took * per, n - took * per
             gap[1], gap[2] = sequence + took, many - took
             if not gap[2]:
                 open_.pop()
         if n:
-            yield PIECE, size, first, n, 0, 0, 0
-    yield from ((GAP, size, first, n, 0, 0, 0) for size, first, n in open_)
+            yield PIECE, size, first, n, 1, 0, 0
+    yield from ((GAP, size, first, n, 1, 0, 0) for size, first, n in open_)
 
 
-def opened(rows: list[Row], capacity: int, low: int, sequences: int) -> Iterator[Row]:
-    """The end of a round, of rows in the sweep's order: new sequences for the longest pieces that no room is left for, then gaps as the next round meets them.
+def opened(rows: list[Row], capacity: int) -> Iterator[Row]:
+    """The end of a round, of rows in the sweep's order: new sequences for the longest pieces that no room is left for, then gaps and pieces as the next round meets them.
 
     Half the capacity holds one piece at most, so longer ones all open. Others open
     as many as their tokens need beyond the room left; where a round placed less
     than a quarter of what it left, sequences open for all of that.
     """
-    left = [r for r in rows if r[0] == PIECE and r[1] > low]
+    left = [r for r in rows if r[0] == PIECE and r[4]]
     need = sum(r[1] * r[3] for r in left)
-    put = sum(r[1] * r[3] * r[4] for r in rows if r[0] == PLACED)
-    room = 0 if 4 * put <= need else sum(r[1] * r[3] for r in rows if r[0] in (GAP, FRESH) and r[1] > low)
+    put = sum(r[1] * r[3] * r[4] for r in rows if r[0] == NEW)
+    least = min((r[1] for r in rows if r[4] and r[0] in (PIECE, NEW)), default=1)
+    room = 0 if 4 * put <= need else sum(r[1] * r[3] for r in rows if r[0] == FRESH and r[1] >= least or r[0] == GAP and r[4])
     seeds = -(-(need - room) // capacity)
-    for kind, size, first, n, *rest in rows:
+    sequences = max((r[2] for r in rows if r[0] == TOTAL), default=0)
+    out: list[Row] = []
+    for kind, size, first, n, per, *rest in rows:
         if kind in (GAP, FRESH):
             if size:
-                yield GAP, size, first, n, 0, 0, 0
-        elif kind == PLACED:
-            yield PLACED, size, first, n, *rest
-        else:
-            k = 0 if size <= low else n if 2 * size > capacity else min(n, max(0, seeds))
+                out.append((GAP, size, first, n, 0, 0, 0))
+        elif kind in (NEW, PLACED):
+            out.append((PLACED, size, first, n, per, *rest))
+        elif kind == PIECE:
+            k = 0 if not per else n if 2 * size > capacity else min(n, max(0, seeds))
             seeds -= k
             if k:
-                yield PLACED, size, first, k, 1, sequences, 0
+                out.append((PLACED, size, first, k, 1, sequences, 0))
                 if size < capacity:
-                    yield GAP, capacity - size, sequences, k, 0, 0, 0
+                    out.append((GAP, capacity - size, sequences, k, 0, 0, 0))
                 sequences += k
             if k < n:
-                yield PIECE, size, first + k, n - k, 0, 0, 0
+                out.append((PIECE, size, first + k, n - k, 0, 0, 0))
+    low = band(capacity, max((r[1] for r in out if r[0] == PIECE), default=0))
+    yield TOTAL, 0, sequences, 0, 0, 0, 0
+    yield from ((*r[:4], int(r[1] > low), *r[5:]) if r[0] <= PIECE else r for r in out)
 
 
-def _order(row: Row) -> tuple:
-    return -row[1], row[0], row[2]
+def band(capacity: int, most: int) -> int:
+    """What pieces and gaps of the band at work are larger than; `most`: the longest piece left. Bands go from a third of one to the next down."""
+    while most <= capacity // 3:
+        capacity //= 3
+        if not capacity:
+            break
+    return capacity // 3
 
 
-def bands(capacity: int, most: int, top: int) -> tuple[int, int]:
-    """(top, low) of the band at work: pieces of over a third of the top and up to it, as long as there are any; `most`: the longest piece left."""
-    while most <= top // 3:
-        top //= 3
-    return top, top // 3
+def _order(row: Row) -> tuple:
+    return -row[1], row[0], row[2]
 
 
 def place(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     """The rounds of placements() on one machine and without ranges, over {length: how many}. Rows (length, first rank, how many, first sequence, offset), and the number of sequences."""
-    state = [(PIECE, n, 0, k, 0, 0, 0) for n, k in counts.items() if k]
-    placed: list[list[int]] = []
-    total, top = 0, capacity
-    while most := max((r[1] for r in state if r[0] == PIECE), default=0):
-        top, low = bands(capacity, most, top)
-        reach = sorted((r for r in state if r[1] > low), key=_order)
-        met = [*sweep(reach, capacity), *(r for r in state if r[1] <= low)]
-        state = []
-        for r in opened(sorted(met, key=_order), capacity, low, total):
-            if r[0] != PLACED:
-                state.append(r)
-                continue
-            _, size, first, n, per, sequence, offset = r
-            placed += [[size, first + j * n, n, sequence, offset + j * size] for j in range(per)]
-            total = max(total, sequence + n)
-    return np.array(sorted(placed), dtype=np.int64).reshape(-1, 5), total
+    low = band(capacity, max(counts, default=0))
+    state = [(PIECE, n, 0, k, int(n > low), 0, 0) for n, k in counts.items() if k]
+    while any(r[0] == PIECE for r in state):
+        state = list(_ended(state, capacity))
+    placed = [[size, first + j * n, n, sequence, offset + j * size] for kind, size, first, n, per, sequence, offset in state if kind == PLACED for j in range(per)]
+    return np.array(sorted(placed), dtype=np.int64).reshape(-1, 5), max((r[2] for r in state if r[0] == TOTAL), default=0)
+
+
+def _ended(rows: Iterable[Row], capacity: int) -> Iterator[Row]:
+    """A sweep of all rows in the band, and the round's end."""
+    rows = sorted(rows, key=_order)
+    met = [r for r in rows if r[0] > PIECE or not r[4]]
+    met += sweep((r for r in rows if r[0] <= PIECE and r[4]), capacity)
+    return opened(sorted(met, key=_order), capacity)
 
 
 def _batch(rows: Iterable[Row]) -> pa.RecordBatch:
@@ -176,13 +182,13 @@ def _rows(it: Iterator[pa.RecordBatch], columns: int = 7) -> Iterator[tuple]:
         yield from zip(*(b.column(k).to_pylist() for k in range(columns)), strict=True)
 
 
-def round_(state: DataFrame, capacity: int, low: int, sequences: int) -> DataFrame:
-    """One bulk-synchronous round over runs and gaps of more than `low`.
+def round_(state: DataFrame, capacity: int) -> DataFrame:
+    """One bulk-synchronous round over the runs and gaps of the band at work.
 
     Runs and gaps are dealt to ranges of size and sorted; each range is swept by
     itself. What finds no partner there carries over the boundaries: pieces of a
     range fit every gap of the ranges above, and a second sweep over those leftovers
-    alone gives what one sweep over all ranges would. Then gaps are updated.
+    gives what one sweep over all ranges would. Then gaps are updated.
     """
 
     def local(it):
@@ -191,17 +197,12 @@ def round_(state: DataFrame, capacity: int, low: int, sequences: int) -> DataFra
             if at != part:
                 out += sweep(held, capacity)
                 part, held = at, []
-            if row[1] > low:
-                held.append(tuple(row))
-            else:
-                out.append(tuple(row))
+            (held if row[0] <= PIECE and row[4] else out).append(tuple(row))
         yield _batch([*out, *sweep(held, capacity)])
 
     def carried(it):
-        rows = sorted(_rows(it), key=_order)
-        met = [r for r in rows if r[0] > PIECE or r[1] <= low]
-        met += sweep((r for r in rows if r[0] <= PIECE and r[1] > low), capacity)
-        yield _batch(opened(sorted(met, key=_order), capacity, low, sequences))
+        rows = list(_rows(it))
+        yield _batch(_ended(rows, capacity) if rows else ())
 
     at = F.floor((F.col("size") - 1) * RANGES / capacity).cast("int")
     dealt = state.withColumn("at", at).repartition("at").sortWithinPartitions("at", F.desc("size"), "kind", "first")
@@ -211,25 +212,18 @@ def round_(state: DataFrame, capacity: int, low: int, sequences: int) -> DataFra
 def placements(runs: DataFrame, capacity: int) -> DataFrame:
     """Rounds of best fit over runs (length, n): the staged placements, STATE's rows of the kind PLACED.
 
-    Rows of a round are runs, at most as many as there are lengths, and gaps of
-    one history, some thousands whatever the number of documents; the driver sees
-    two numbers a round. Bands of lengths, each from its longest piece down to a
-    third, bound the rounds by some tens.
+    Rows are runs, at most as many as there are lengths, and gaps and placements of
+    one history, some thousands whatever the number of documents. A job makes ROUNDS
+    rounds; some tens of rounds are enough, and those after the last change nothing.
     """
-    spark = runs.sparkSession
-    zero = [F.lit(0).cast("long").alias(c) for c in ("per", "sequence", "offset")]
-    state = runs.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("first"), "n", *zero)
-    rounds: list[DataFrame] = []
-    most = runs.agg(F.max("length")).first()[0] or 0
-    total, top = 0, capacity
-    while most:
-        top, low = bands(capacity, most, top)
-        done = common.staged(round_(state, capacity, low, total), "round")
-        rounds.append(done.filter(F.col("kind") == PLACED))
-        state = done.filter(F.col("kind") != PLACED)
-        seen = done.agg(F.max(F.when(F.col("kind") == PIECE, F.col("size"))), F.max(F.when(F.col("kind") == PLACED, F.col("sequence") + F.col("n")))).first()
-        most, total = seen[0] or 0, max(total, seen[1] or 0)
-    return reduce(DataFrame.unionAll, rounds) if rounds else spark.createDataFrame([], STATE)
+    low = band(capacity, runs.agg(F.max("length")).first()[0] or 0)
+    zero = F.lit(0).cast("long")
+    state = runs.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), zero.alias("first"), "n", (F.col("length") > low).cast("long").alias("per"), zero.alias("sequence"), zero.alias("offset"))
+    while not state.filter(F.col("kind") == PIECE).isEmpty():
+        for _ in range(ROUNDS):
+            state = round_(state, capacity)
+        state = common.staged(state, "rounds")
+    return state.filter(F.col("kind") == PLACED)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, payload: dict[str, Column] | None = None) -> DataFrame:
