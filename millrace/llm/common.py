@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in spark.checkpoint.dir. Where that is unset, as in
-    tests on one machine, a temporary folder of this machine is set.
+    tests on one machine, a temporary folder of this machine is set; on a cluster
+    that would be another folder for each executor, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _MADE.append((spark, folder))
@@ -41,10 +46,10 @@ def new_folder(spark: SparkSession, what: str) -> str:
 @atexit.register
 def _clean() -> None:
     for spark, path in _MADE:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; the cluster's folder policy applies
+        if spark.sparkContext._jsc is None:  # the session has ended; the folder's own policy applies
             return
+        with contextlib.suppress(Exception):
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -68,9 +73,11 @@ def lean(df: DataFrame) -> DataFrame:
 
 
 def open_fs(uri: str):
-    """(file system, path) of a URI, for reading and writing bytes in tasks."""
+    """(file system, path) of a URI, for reading and writing bytes in tasks: local files, HDFS, S3 under any of Hadoop's names for it, and what else pyarrow reaches."""
     from pyarrow import fs
 
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if uri.startswith("/"):
