@@ -206,7 +206,7 @@ def round_(state: DataFrame, capacity: int) -> DataFrame:
 
     at = F.floor((F.col("size") - 1) * RANGES / capacity).cast("int")
     dealt = state.withColumn("at", at).repartition("at").sortWithinPartitions("at", F.desc("size"), "kind", "first")
-    return dealt.mapInArrow(local, STATE).coalesce(1).mapInArrow(carried, STATE)
+    return dealt.mapInArrow(local, STATE).repartition(1).mapInArrow(carried, STATE)
 
 
 def placements(runs: DataFrame, capacity: int) -> DataFrame:
