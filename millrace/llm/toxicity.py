@@ -148,7 +148,7 @@ def slopes(rows: Rows, vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray,
     return loss, pull, np.stack([-turn, turn]), np.array([-tilt, tilt])
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares: np.ndarray, steps: int = 150, rate: float = 4.0, soft_rate: float = 0.003, rare: float = 2e-6, decay: float = 5e-3, seed: int = 1) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]] | Rows, labels: np.ndarray, shares: np.ndarray, steps: int = 150, rate: float = 4.0, soft_rate: float = 0.003, rare: float = 2e-6, decay: float = 5e-3, seed: int = 1) -> Model:
     """Gradient descent with momentum on vectors, softmax and biases together.
 
     shares: how many labelled rows each row stands for. A bucket's step is divided
@@ -157,7 +157,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, shares:
     to 0. The softmax's steps are divided by the running size of its slopes, so
     `soft_rate` is about what it moves by in a step, whatever their scale.
     """
-    rows, share = Rows(bags), shares / shares.sum()
+    rows, share = bags if isinstance(bags, Rows) else Rows(bags), shares / shares.sum()
     vectors, soft, bias = started(len(rows.seen), labels, shares, seed)
     step = (rate / (rows.summed(share) + rare)).astype(np.float32)
     moving, turning, size = np.zeros_like(vectors), np.zeros_like(soft), 0.0
@@ -224,10 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 1500
     labelled = found.column("toxic").to_numpy()
     if len({*labelled.tolist()}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(totals[1] / totals[0])))
-    bags = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(p.as_py(), np.float32)) for a, p in zip(found.column("at"), found.column("part"), strict=True)]
+    rows = Rows([(np.frombuffer(a.as_py(), np.int32), np.frombuffer(p.as_py(), np.float32)) for a, p in zip(found.column("at"), found.column("part"), strict=True)])
     each = {k: totals[k] / max(1, int((labelled == k).sum())) for k in totals}
     del found
-    return train(bags, labelled.astype(np.float64), np.array([each[k] for k in labelled.tolist()]))
+    common.release()
+    model = train(rows, labelled.astype(np.float64), np.array([each[k] for k in labelled.tolist()]))
+    del rows
+    common.release()
+    return model
 
 
 class Scorer:
