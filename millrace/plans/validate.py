@@ -29,22 +29,26 @@ def _at(value: dict | None, field: str) -> Any:
     return value
 
 
-def needs(field: str, message: str) -> Check:
+def _named(field: str) -> str:
+    return field.rpartition(".")[2].replace("_", " ")
+
+
+def needs(field: str) -> Check:
     """A text that isn't blank, or a list that isn't empty."""
 
     def check(config, path):
         value = _at(config, field)
         if not value or _blank(value):
-            yield Issue("SCHEMA_REQUIRED", message, f"{path}.{field}")
+            yield Issue("SCHEMA_REQUIRED", f"{_named(field)} must be given", f"{path}.{field}")
 
     return check
 
 
-def one_of(field: str, allowed: tuple[str, ...], message: str, optional: bool = False) -> Check:
+def one_of(field: str, allowed: tuple[str, ...], optional: bool = False) -> Check:
     def check(config, path):
         value = _at(config, field) or ""
         if value not in allowed and not (optional and value == ""):
-            yield Issue("SCHEMA_INVALID", message, f"{path}.{field}")
+            yield Issue("SCHEMA_INVALID", f"{_named(field)} must be one of: {', '.join(allowed)}", f"{path}.{field}")
 
     return check
 
@@ -66,11 +70,11 @@ def each(field: str, *checks: Check) -> Check:
     return check
 
 
-def each_text(field: str, message: str) -> Check:
+def each_text(field: str) -> Check:
     def check(config, path):
         for k, item in enumerate(_at(config, field) or []):
             if _blank(item):
-                yield Issue("SCHEMA_REQUIRED", message, f"{path}.{field}[{k}]")
+                yield Issue("SCHEMA_REQUIRED", f"blank entry in {_named(field)}", f"{path}.{field}[{k}]")
 
     return check
 
@@ -87,71 +91,71 @@ def _labels(config, path):
     seen = set()
     for k, branch in enumerate(config.get("branches") or []):
         here, label = f"{path}.branches[{k}]", ((branch or {}).get("label") or "").strip().lower()
-        for c in (needs("label", "branch label is required"), MODE):
+        for c in (needs("label"), MODE):
             yield from c(branch or {}, here)
         if label == "default":
-            yield Issue("SCHEMA_INVALID", "branch label default is reserved", f"{here}.label")
+            yield Issue("SCHEMA_INVALID", "no branch can be called default", f"{here}.label")
         if label and label in seen:
-            yield Issue("SCHEMA_INVALID", "duplicate branch label", f"{here}.label")
+            yield Issue("SCHEMA_INVALID", "two branches have one label", f"{here}.label")
         seen.add(label)
         yield from RULES(branch or {}, here)
 
 
-MODE = one_of("mode", ("all", "any"), "mode must be all or any", optional=True)
-RULES = each("rules", needs("column", "rule column is required"), one_of("operation", OPERATIONS, "unsupported rule operation"))
-LIMIT = [must("count", lambda c: (c.get("count") or 0) > 0, "count must be greater than zero"), must("offset", lambda c: (c.get("offset") or 0) >= 0, "offset must be >= 0")]
+MODE = one_of("mode", ("all", "any"), optional=True)
+RULES = each("rules", needs("column"), one_of("operation", OPERATIONS))
+LIMIT = [must("count", lambda c: (c.get("count") or 0) > 0, "a limit takes at least one row"), must("offset", lambda c: (c.get("offset") or 0) >= 0, "an offset can't be negative")]
 CHECKS: dict[str, list[Check]] = {
     "DataSource": [
-        one_of("format", ("csv", "parquet"), "format must be csv or parquet"),
-        must("options.header", lambda c: c.get("format") != "parquet" or _at(c, "options.header") is None, "options.header is only supported for csv format"),
-        needs("path", "path is required"),
-        one_of("mode", ("infer", "declared", "declared_with_check"), "mode must be infer, declared, or declared_with_check"),
-        when(lambda c: c.get("mode") in ("declared", "declared_with_check"), needs("columns", "columns are required for declared modes")),
-        each("columns", needs("name", "column name is required"), needs("sql_type", "column sql_type is required")),
+        one_of("format", ("csv", "parquet")),
+        must("options.header", lambda c: c.get("format") != "parquet" or _at(c, "options.header") is None, "only CSV files have a header option"),
+        needs("path"),
+        one_of("mode", ("infer", "declared", "declared_with_check")),
+        when(lambda c: c.get("mode") in ("declared", "declared_with_check"), needs("columns")),
+        each("columns", needs("name"), needs("sql_type")),
     ],
-    "Filter": [MODE, needs("rules", "at least one rule is required"), RULES],
-    "SelectColumns": [needs("columns", "at least one column is required"), each_text("columns", "column name is required")],
+    "Filter": [MODE, needs("rules"), RULES],
+    "SelectColumns": [needs("columns"), each_text("columns")],
     "Sort": [
-        needs("keys", "at least one sort key is required"),
-        each("keys", needs("column", "sort key column is required"), one_of("direction", ("asc", "desc"), "direction must be asc or desc", optional=True), one_of("nulls", ("first", "last"), "nulls must be first or last", optional=True)),
+        needs("keys"),
+        each("keys", needs("column"), one_of("direction", ("asc", "desc"), optional=True), one_of("nulls", ("first", "last"), optional=True)),
     ],
     "Limit": LIMIT,
     "LimitSample": LIMIT,
-    "ConstantColumn": [needs("column.name", "column name is required"), needs("column.sql_type", "column sql_type is required")],
+    "ConstantColumn": [needs("column.name"), needs("column.sql_type")],
     "ComputeColumn": [
-        needs("columns", "at least one compute column is required"),
-        each("columns", needs("name", "compute column name is required"), needs("sql_type", "compute column sql_type is required"), needs("expr", "compute expression is required")),
+        needs("columns"),
+        each("columns", needs("name"), needs("sql_type"), needs("expr")),
     ],
-    "RenameColumns": [needs("renames", "at least one rename is required"), each("renames", needs("from", "rename from is required"), needs("to", "rename to is required"))],
-    "CastColumns": [needs("casts", "at least one cast is required"), each("casts", needs("column", "cast column is required"), needs("sql_type", "cast sql_type is required"))],
-    "FillReplace": [needs("rules", "at least one fill/replace rule is required"), each("rules", needs("column", "rule column is required"))],
-    "Deduplicate": [needs("columns", "at least one deduplicate column is required"), one_of("keep", ("first", "last"), "keep must be first or last", optional=True), needs("order_by", "at least one order_by key is required")],
+    "RenameColumns": [needs("renames"), each("renames", needs("from"), needs("to"))],
+    "CastColumns": [needs("casts"), each("casts", needs("column"), needs("sql_type"))],
+    "FillReplace": [needs("rules"), each("rules", needs("column"))],
+    "Deduplicate": [needs("columns"), one_of("keep", ("first", "last"), optional=True), needs("order_by")],
     "Aggregate": [
-        needs("metrics", "at least one metric is required"),
-        each("metrics", one_of("function", ("count", "sum", "avg", "min", "max"), "unsupported metric function"), needs("column", "metric column is required"), needs("as", "metric alias is required")),
+        needs("metrics"),
+        each("metrics", one_of("function", ("count", "sum", "avg", "min", "max")), needs("column"), needs("as")),
     ],
-    "MergeUnion": [one_of("mode", ("strict_positional", "align_by_name"), "mode must be strict_positional or align_by_name")],
+    "MergeUnion": [one_of("mode", ("strict_positional", "align_by_name"))],
     "Join": [
-        one_of("mode", ("inner", "left"), "mode must be inner or left"),
-        needs("keys", "at least one join key is required"),
-        each("keys", needs("left", "join key left is required"), needs("right", "join key right is required")),
+        one_of("mode", ("inner", "left")),
+        needs("keys"),
+        each("keys", needs("left"), needs("right")),
     ],
     "Conditional": [MODE, RULES],
-    "Switch": [needs("branches", "at least one branch is required"), _labels],
-    "UnnestArray": [needs("array_column", "array_column is required"), needs("output_column.name", "output column name is required"), needs("output_column.sql_type", "output column sql_type is required")],
+    "Switch": [needs("branches"), _labels],
+    "UnnestArray": [needs("array_column"), needs("output_column.name"), needs("output_column.sql_type")],
     "Pivot": [
-        needs("group_by", "group_by is required"),
-        needs("pivot_column", "pivot_column is required"),
-        needs("value_column", "value_column is required"),
-        one_of("agg_fn", ("sum", "count"), "agg_fn must be sum or count", optional=True),
-        needs("in_values", "in_values is required"),
+        needs("group_by"),
+        needs("pivot_column"),
+        needs("value_column"),
+        one_of("agg_fn", ("sum", "count"), optional=True),
+        needs("in_values"),
     ],
     "Unpivot": [
-        needs("in_columns", "in_columns is required"),
-        needs("name_column.name", "name_column.name is required"),
-        needs("name_column.sql_type", "name_column.sql_type is required"),
-        needs("value_column.name", "value_column.name is required"),
-        needs("value_column.sql_type", "value_column.sql_type is required"),
+        needs("in_columns"),
+        needs("name_column.name"),
+        needs("name_column.sql_type"),
+        needs("value_column.name"),
+        needs("value_column.sql_type"),
     ],
 }
 #: Least and most inputs; others have one.
@@ -264,15 +268,15 @@ def _sinks(spec: Spec, nodes: dict[str, Node]) -> Iterator[Issue]:
 def issues_of(spec: Spec) -> list[Issue]:
     issues: list[Issue] = []
     if _blank(spec.pipeline_id):
-        issues.append(Issue("SCHEMA_REQUIRED", "pipeline_id is required", "$.pipeline_id"))
+        issues.append(Issue("SCHEMA_REQUIRED", "pipeline id must be given", "$.pipeline_id"))
     if spec.version < 1:
-        issues.append(Issue("SCHEMA_INVALID", "version must be >= 1", "$.version"))
+        issues.append(Issue("SCHEMA_INVALID", "versions count from 1", "$.version"))
     if not spec.nodes:
-        return [*issues, Issue("SCHEMA_REQUIRED", "nodes must contain at least one node", "$.nodes")]
+        return [*issues, Issue("SCHEMA_REQUIRED", "a pipeline has a node at least", "$.nodes")]
     if not spec.sinks:
-        issues.append(Issue("SCHEMA_REQUIRED", "sinks must contain at least one sink", "$.sinks"))
+        issues.append(Issue("SCHEMA_REQUIRED", "a pipeline has a sink at least", "$.sinks"))
     for field, allowed in (("telemetry_format", ("text", "json")), ("telemetry_level", ("basic", "debug"))):
-        issues += one_of(field, allowed, f"{field} must be {' or '.join(allowed)}", optional=True)(spec.defaults, "$.defaults")
+        issues += one_of(field, allowed, optional=True)(spec.defaults, "$.defaults")
     nodes: dict[str, Node] = {}
     places: dict[str, int] = {}
     inputs: dict[str, list[str]] = {}

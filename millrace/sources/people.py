@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .sinks import to_file
 
-#: Names and countries (fixed values).
+#: What made-up people are called, and where they live.
 FIRST = ["Ana", "Bruno", "Carla", "Diego", "Elena", "Felipe", "Gina", "Hugo", "Iris", "Joao"]
 LAST = ["Silva", "Souza", "Costa", "Lima", "Rocha", "Alves", "Melo", "Dias", "Nunes", "Prado"]
 COUNTRIES = ["BR", "US", "AR", "CL", "MX", "PT", "ES", "CO"]
