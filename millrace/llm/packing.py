@@ -70,7 +70,8 @@ GAP, PIECE, FRESH, NEW, PLACED, TOTAL = range(6)
 #: size: room or length; first: a sequence, or a rank among pieces of the length; n: how many follow it. Of placements: `per` pieces in each of n sequences from `sequence` on, from `offset` on. Of gaps and pieces `per` is 1 in the band at work, else 0.
 STATE = "kind int, size long, first long, n long, per long, sequence long, offset long"
 Row = tuple[int, int, int, int, int, int, int]
-RANGES, ROUNDS = 16, 8
+#: The tables are small, so few ranges are enough; each has a task of its own.
+RANGES, ROUNDS = 4, 8
 
 
 def sweep(rows: Iterable[Row], capacity: int) -> Iterator[Row]:
@@ -204,8 +205,8 @@ def round_(state: DataFrame, capacity: int) -> DataFrame:
         rows = list(_rows(it))
         yield _batch(_ended(rows, capacity) if rows else ())
 
-    at = F.floor((F.col("size") - 1) * RANGES / capacity).cast("int")
-    dealt = state.withColumn("at", at).repartition("at").sortWithinPartitions("at", F.desc("size"), "kind", "first")
+    at = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) * RANGES / capacity).cast("int")
+    dealt = state.withColumn("at", at).repartitionById(RANGES, F.col("at")).sortWithinPartitions("at", F.desc("size"), "kind", "first")
     return dealt.mapInArrow(local, STATE).repartition(1).mapInArrow(carried, STATE)
 
 
