@@ -13,6 +13,10 @@ from millrace.functions.expressions import quoted, to_text
 from millrace.session import spark_path
 
 
+#: Quotes within values are doubled, blanks around them stay, and empty texts differ from nulls.
+CSV = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def to_view(df: DataFrame, name: str) -> None:
     """A view that must not exist yet."""
     df.createTempView("`" + name.replace("`", "``") + "`")
@@ -64,7 +68,7 @@ def to_file(df: DataFrame, path: str, kind: str, single: bool | None = None) ->
         if single:
             d = d.withColumn(place, F.monotonically_increasing_id()).repartition(1).sortWithinPartitions(place).drop(place)
         w = d.write.mode("overwrite")
-        w.option("header", True).option("emptyValue", '""').csv(out) if kind == "csv" else w.parquet(out)
+        w.options(**CSV).csv(out) if kind == "csv" else w.parquet(out)
 
     n = _counted(df, write)
     if single:
